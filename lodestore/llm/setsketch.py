@@ -10,12 +10,12 @@ probability close to the Jaccard similarity.
 
 1. Documents with equal sets (128-bit digest of the sorted shingles) form a class.
 2. Class representatives that agree on a band of four registers share a bucket.
-3. The first round pairs each member with its bucket's smallest; a likelihood
-   estimate from both sketches drops hopeless pairs, the rest are confirmed on the
-   full sets. Confirmed links give components.
-4. The second round pairs, in buckets that still hold several components, all members
-   outside the largest of these with all members of other components. Pairs within a
-   component can't change the result; all others are tested.
+3. The first round pairs each member with its bucket's smallest. Pairs are confirmed on
+   the full sets; confirmed links give components.
+4. The second round looks into buckets that still hold several components. There all
+   pairs of different components get a joint likelihood estimate from their sketches,
+   in blocks of a bounded number of members; what isn't hopeless is confirmed. Pairs
+   within a component can't change the result; all others are tested.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ from .common import materialise
 from .components import connected_components
 from .textscan import SPACE, Scan, chunks, fold, mix, runs_start
 
-REGISTERS, ROWS = 192, 4
+REGISTERS, ROWS, BANDS = 384, 4, 48
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SHINGLE = 5
 #: A pair whose estimate is below the threshold by more than this many standard
-#: errors isn't confirmed; the chance to lose a true pair is below 1e-9.
-ERRORS = 6.4
+#: errors isn't confirmed; the chance to lose a true pair is below 4e-6.
+ERRORS = 4.5
+#: Members of an open bucket that are compared at once.
+BLOCK = 512
 
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
@@ -99,8 +101,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bands(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit bucket key per band of ``rows`` registers."""
-    n = registers.shape[1] // rows
+    """One 64-bit bucket key for each of the first BANDS runs of ``rows`` registers."""
+    n = BANDS
     wide = np.zeros((len(registers), n), np.uint64)
     for k in range(rows):
         wide = mix(wide * np.uint64(3) + registers[:, k : n * rows : rows].astype(np.uint64) + np.uint64(1))
@@ -152,17 +154,45 @@ def _band_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": batch["node"], "bands": list(bands(registers))})
 
 
-def _hopeful(threshold: float):
+def _crossing(threshold: float):
+    """Hopeful pairs of different components in (parts of) buckets; rows come sorted by
+    bucket part. A pair that shares several bands is told by the first of them alone."""
     floor = threshold - ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
-    @F.pandas_udf("boolean")
-    def hopeful(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        left, right = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), REGISTERS) for x in (a, b))
-        return pd.Series(estimate(left, right, n_a.to_numpy(float), n_b.to_numpy(float)) >= floor)
-
-    return hopeful
+    def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        registers = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), REGISTERS)
+        band, low, high, part, node, home = (rows[c].to_numpy(np.int64) for c in ("band", "low", "high", "part", "node", "component"))
+        size, own = rows["n_shingles"].to_numpy(float), bands(registers)
+        starts = np.flatnonzero(np.concatenate(([True], (np.diff(band) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0))))
+        ends = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
+        partners = ends - np.arange(len(rows)) - 1
+        for lot in np.split(np.arange(len(rows)), np.searchsorted(np.cumsum(partners), np.arange(50_000, partners.sum() + 1, 50_000))):
+            i = np.repeat(lot, partners[lot])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners[lot]) - partners[lot], partners[lot])
+            ok = (home[i] != home[j]) & ((low[i] == high[i]) | (part[i] != part[j]))
+            i, j = i[ok], j[ok]
+            told = own[i, (own[i] == own[j]).argmax(axis=1)] == band[i]
+            i, j = i[told], j[told]
+            # The share of equal registers is at most a little above the similarity.
+            near = np.count_nonzero(registers[i] == registers[j], axis=1) >= (floor - 0.02) * REGISTERS
+            i, j = i[near], j[near]
+            if len(i):
+                fits = estimate(registers[i], registers[j], size[i], size[j]) >= floor
+                yield pd.DataFrame({"a": np.minimum(node[i], node[j])[fits], "b": np.maximum(node[i], node[j])[fits]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in batches:
+            rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            keys = rows[["band", "low", "high"]].to_numpy()
+            open_ = len(rows) if not len(rows) else int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])
+            if open_:
+                yield from pairs_of(rows.iloc[:open_])
+            left = rows.iloc[open_:]
+        if left is not None and len(left):
+            yield from pairs_of(left)
+
+    return compare
 
 
 def _confirmed(threshold: float):
@@ -192,27 +222,26 @@ class NearDuplicates:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.threshold = threshold
 
-    def _verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    def _verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-        side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n_shingles", "sketch")))
-        near = (
-            pairs.join(side("a"), F.col("a") == F.col("node_a"))
-            .join(side("b"), F.col("b") == F.col("node_b"))
-            .where(_hopeful(self.threshold)("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b"))
-            .select("a", "b")
-        )
-        near = materialise(near, "near")
-        wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        texts = materialise(self.docs.join(wanted, "doc_id"), "texts")
         text = lambda x: texts.select(F.col("doc_id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
         return (
-            near.join(text("a"), F.col("a") == F.col("id_a"))
+            pairs.join(text("a"), F.col("a") == F.col("id_a"))
             .join(text("b"), F.col("b") == F.col("id_b"))
             .where(_confirmed(self.threshold)("text_a", "text_b"))
             .select("a", "b")
             .distinct()
         )
 
+    def _blocks(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Rows (band, low, high, part, node, component, sketch, n_shingles): each pair
+        of parts of an open bucket, so that a large bucket is spread over many tasks."""
+        counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        placed = members.join(counts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = placed.withColumn("other", other).select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component")
+        return dealt.join(nodes.select("node", "sketch", "n_shingles"), "node")
+
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row.
 
@@ -233,24 +262,19 @@ class NearDuplicates:
         banded = nodes.select("node", "sketch").mapInPandas(_band_batches, "node long, bands array<long>").select("node", F.explode("bands").alias("band"))
         firsts = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("band", "first")
         members = materialise(banded.join(firsts, "band"), "members")
+        # At scale this is a shuffle of all texts; it is asked for at every size.
+        wanted = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
+        texts = materialise(self.docs.join(wanted, "doc_id"), "texts")
         tried = materialise(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-        links = materialise(self._verify(tried, nodes).union(same_id), "links")
+        links = materialise(self._verify(tried, texts).union(same_id), "links")
         labels = materialise(connected_components(links), "labels")
 
         placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
         placed = materialise(placed.join(open_, "band"), "open")
-        shares = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-        main = shares.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top")).select("band", F.col("top.component").alias("main"))
-        outside = placed.join(main, "band").where("component <> main").select("band", F.col("node").alias("p"), F.col("component").alias("of_p"))
-        crossing = (
-            outside.join(placed, "band")
-            .where("component <> of_p")
-            .select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        more = materialise(self._verify(crossing, nodes), "more")
+        dealt = self._blocks(placed, nodes).repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+        crossing = dealt.mapInPandas(_crossing(self.threshold), "a long, b long")
+        more = materialise(self._verify(crossing.distinct().join(tried, ["a", "b"], "left_anti"), texts), "more")
         if not more.isEmpty():
             labels = materialise(connected_components(links.union(more)), "labels")
 
