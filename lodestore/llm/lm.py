@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -41,25 +42,37 @@ from .textscan import SPACE, Scan, mix, word_hash
 
 CUT, CAP, FALL = 0.35, 0.9, 0.14
 FOLDS, HELD = 7, 2
-BLOCK_WORDS, BLOCK_DOCS, DOCS_PER_SHARD, LEAST_SHARDS = 1_500_000, 60_000, 10_000, 24
+BLOCK_WORDS, BLOCK_DOCS, DOCS_PER_SHARD, LEAST_SHARDS = 500_000, 60_000, 10_000, 24
 END = np.uint64(word_hash("end of text") ^ 0x5DEECE66D)
 _ROW = "slot int, kind string, block long, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value. Sorted 64-bit keys are told by their differences,
+    byte plane by byte plane, so that planes of zeros vanish."""
     parts = []
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        parts += [struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes), a.tobytes()]
-    return b"".join(parts)
+        a, sorted_ = np.ascontiguousarray(a), False
+        if a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all()):
+            sorted_, count = True, len(a)
+            data = np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(count, 8).T.tobytes()
+        else:
+            data = a.tobytes()
+        parts += [struct.pack("<2s?q", a.dtype.str[1:].encode(), sorted_, len(data)), data]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     out, at = [], 0
     while at < len(data):
-        kind, size = struct.unpack_from("<2sq", data, at)
-        at += 10
-        out.append(np.frombuffer(data, np.dtype("<" + kind.decode()), size // int(kind[1:]), at))
+        kind, sorted_, size = struct.unpack_from("<2s?q", data, at)
+        at += 11
+        if sorted_:
+            planes = np.frombuffer(data, np.uint8, size, at).reshape(8, size // 8)
+            out.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel()))
+        else:
+            out.append(np.frombuffer(data, np.dtype("<" + kind.decode()), size // int(kind[1:]), at))
         at += size
     return out
 
@@ -76,8 +89,7 @@ class EliasFano:
         n = len(values)
         bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
-        low = values & np.uint64((1 << bits) - 1)
-        spread = ((low[:, None] >> np.arange(bits, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.uint8) if bits else np.zeros((n, 0), np.uint8)
+        spread = np.unpackbits(values.view(np.uint8).reshape(n, 8), axis=1, count=bits, bitorder="little") if bits else np.zeros((n, 0), np.uint8)
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         unary[ones] = 1
@@ -88,11 +100,9 @@ class EliasFano:
         high = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        spread = np.unpackbits(self.low, bitorder="little", count=self.count * self.low_bits).reshape(self.count, self.low_bits)
-        low = np.zeros(self.count, np.uint64)
-        for k in range(self.low_bits):
-            low |= spread[:, k].astype(np.uint64) << np.uint64(k)
-        return high | low
+        spread = np.zeros((self.count, 64), np.uint8)
+        spread[:, : self.low_bits] = np.unpackbits(self.low, bitorder="little", count=self.count * self.low_bits).reshape(self.count, self.low_bits)
+        return high | np.packbits(spread, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 class Trie:
@@ -174,6 +184,16 @@ def _grouped(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new_key], per_key, docs[at], times
 
 
+def _word_shard(top: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a word, from the top 40 bits of its hash."""
+    return (mix(top + np.uint64(77)) % np.uint64(shards)).astype(np.int32)
+
+
+def _split40(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The top 40 bits, as 32 and 8: enough to find a word in its shard."""
+    return (hashes >> np.uint64(32)).astype(np.uint32), ((hashes >> np.uint64(24)) & np.uint64(0xFF)).astype(np.uint8)
+
+
 class _Blocks:
     """Splits a stream of documents into blocks and each block into shard rows."""
 
@@ -203,17 +223,15 @@ class _Blocks:
                 if len(mine):
                     if extra is None:
                         key, per, d, times = _grouped(keys[mine], docs[mine])
-                        data = pack(held, key, per.astype(np.uint32), d.astype(np.uint16), np.minimum(times, 65535).astype(np.uint16) if times.max() < 65536 else times.astype(np.uint32))
+                        data = pack(held, key, per.astype(np.uint32), d.astype(np.uint16), times.astype(np.uint32))
                     else:
-                        data = pack(keys[mine], docs[mine].astype(np.uint16), extra[0][mine], extra[1][mine])
+                        before, after = extra[0][mine], extra[1][mine]
+                        data = pack(docs[mine].astype(np.uint16), *_split40(before), *_split40(after))
                     out.append((base + k, kind, block, data))
 
-        def shard_of(x: np.ndarray) -> np.ndarray:
-            return (mix(x + np.uint64(77)) % np.uint64(self.shards)).astype(np.int16)
-
-        deal("word", 0, shard_of(words), words, doc)
+        deal("word", 0, _word_shard(words >> np.uint64(24), self.shards), words, doc)
         pair = (before & np.uint64(0xFFFFFFFF00000000)) | (words >> np.uint64(32))
-        shard = shard_of(before * np.uint64(31) + words)
+        shard = (mix(before * np.uint64(31) + words) % np.uint64(self.shards)).astype(np.int32)
         learn = ~held[doc]
         deal("pair", self.shards, shard[learn], pair[learn], doc[learn])
         fresh = ~learn
@@ -290,21 +308,25 @@ def _shard(shards: int):
             each = [np.add.reduceat(x[3].astype(np.int64), _starts(x[1])) for x in seen]
             pair, where = np.unique(keys, return_inverse=True)
             trie = Trie(pair, np.bincount(where, np.concatenate(each), len(pair)) if len(pair) else np.empty(0))
-            for (block, _), (keys, per, docs, times) in zip(by.get("pair", []), seen, strict=True):
-                out.append(_sums(block, docs, score=np.repeat(trie.find(keys), per) * times))
+            values, cuts = trie.find(pair)[where], np.cumsum([0, *(len(x[0]) for x in seen)])
+            for k, ((block, _), (_, per, docs, times)) in enumerate(zip(by.get("pair", []), seen, strict=True)):
+                out.append(_sums(block, docs, score=np.repeat(values[cuts[k] : cuts[k + 1]], per) * times))
             blocks, unseen = [], []
-            for block, data in by.get("held", []):
-                keys, docs, before, words = unpack(data)
-                value = trie.find(keys)
+            held = [(block, unpack(d)) for block, d in by.get("held", [])]
+            asked = [(x[1].astype(np.uint64) << np.uint64(32)) | x[3] for _, x in held]
+            answers = trie.find(np.concatenate(asked)) if asked else np.empty(0)
+            cuts = np.cumsum([0, *map(len, asked)])
+            for at, (block, (docs, h32, h8, w32, w8)) in enumerate(held):
+                value = answers[cuts[at] : cuts[at + 1]]
                 new = np.isnan(value)
                 out.append(_sums(block, docs, score=np.where(new, 0, value), unseen=new.astype(float)))
-                at = len(blocks)
                 blocks.append(block)
-                for role, w in ((0, before), (1, words)):
-                    unseen.append((w[new], docs[new], np.full(new.sum(), at, np.int32), np.full(new.sum(), role, np.uint8)))
+                for role, (top, low) in enumerate(((h32, h8), (w32, w8))):
+                    word = (top[new].astype(np.uint64) << np.uint64(8)) | low[new]
+                    unseen.append((word, docs[new], np.full(len(word), at, np.int32), np.full(len(word), role, np.uint8)))
             if unseen:
                 w, d, at, role = (np.concatenate(x) for x in zip(*unseen, strict=True))
-                target = (mix(w + np.uint64(77)) % np.uint64(shards)).astype(np.int64)
+                target = _word_shard(w, shards)
                 order = np.argsort(target, kind="stable")
                 cuts = np.searchsorted(target[order], np.arange(shards + 1))
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
@@ -327,7 +349,7 @@ def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         gains: dict[int, list] = {}
         for data in group["data"][group["kind"] == "unseen"]:
             blocks, words, docs, at, role = unpack(data)
-            c = count[np.searchsorted(word, words)].astype(float)
+            c = count[np.searchsorted(word >> np.uint64(24), words)].astype(float)
             gain = np.where(role == 1, np.log10(c + 1), np.log10(backoff(c)) - _seen_weight(c))
             for k, block in enumerate(blocks.tolist()):
                 mine = at == k
