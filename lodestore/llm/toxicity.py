@@ -129,7 +129,9 @@ def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
     lone[:-1] &= ~letter[1:]
     ones = np.flatnonzero(lone)
     if len(ones) >= 3:
-        near = (np.diff(ones) == 2) & ~(sign | (s == 10))[np.minimum(ones[:-1] + 1, len(s) - 1)]
+        between = s[np.minimum(ones[:-1] + 1, len(s) - 1)]
+        near = (np.diff(ones) == 2) & np.isin(between, [ord(c) for c in " .-_*"])
+        near[1:] &= ~near[:-1] | (between[1:] == between[:-1])  # one kind of gap in a run
         cuts = np.flatnonzero(~near)
         for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ones) - 1])), strict=True):
             if b - a >= 2:
