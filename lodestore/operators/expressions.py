@@ -159,7 +159,7 @@ class Lowering:
         if a.kind == b.kind or "null" in (a.kind, b.kind):
             return a.column.eqNullSafe(b.column)
         absent = [x.absent for x in (a, b)]
-        return F.lit(False) if None in absent else absent[0] & absent[1]
+        return F.lit(False) if any(x is None for x in absent) else absent[0] & absent[1]
 
     def less(self, a: Value, b: Value, or_equal: bool) -> Column:
         ra, rb, none = RANKS[a.kind], RANKS[b.kind], RANKS["null"]

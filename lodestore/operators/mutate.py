@@ -56,6 +56,10 @@ def replace(frame: DataFrame, delta: DataFrame) -> DataFrame:
     return _only(frame, delta, "left_anti").unionByName(_aligned(delta, frame))
 
 
+def _not_in(items: Column) -> Callable[[Column], Column]:
+    return lambda x: ~F.coalesce(F.array_contains(items, x), F.lit(False))
+
+
 def merge(frame: DataFrame, delta: DataFrame) -> DataFrame:
     """Overwrite attributes that the delta has; lists get the elements they lack, in the
     delta's order; entities that don't exist are created. One full outer join on the id."""
@@ -65,7 +69,7 @@ def merge(frame: DataFrame, delta: DataFrame) -> DataFrame:
     for f in frame.schema:
         a, b = F.col(f"old.`{f.name}`"), F.col(f"new.`{f.name}`")
         if f.dataType.typeName() == "array":
-            fresh = F.filter(F.array_distinct(b), lambda x, a=a: ~F.coalesce(F.array_contains(a, x), F.lit(False)))
+            fresh = F.filter(F.array_distinct(b), _not_in(a))
             merged = F.when(a.isNull() | b.isNull(), F.coalesce(b, a)).otherwise(F.concat(a, fresh))
         else:
             merged = F.coalesce(b, a)
