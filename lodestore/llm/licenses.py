@@ -2,7 +2,7 @@
 
 Rules are regular expressions with a priority, a label and a keyword. A document whose
 lower-cased text has none of a few gate words is not examined further. Otherwise each
-line is matched by the rules whose keyword it contains; a rule gives its leftmost match
+line is matched by the rules whose keyword it contains; a rule gives all its matches
 in the line. A detection is suppressed if its interval lies within that of one with a
 higher priority, or with the same priority and a longer interval.
 
@@ -152,6 +152,9 @@ def _needs_word(name: str) -> bool:
 GATES = ("licen", "spdx", "copyright", "(c)", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "all rights reserved", "warrant", "permission ", "redistribut", "proprietary", "commercial", "what the fuck", "0bsd")
 
 
+DETECTIONS = "array<struct<priority:int,label:string,confidence:double,start:int,size:int>>"
+
+
 def _any_of(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
@@ -170,12 +173,19 @@ def _detections(line: Column, table: Column) -> Column:
     """What the rules find in a line, without suppressed detections."""
 
     def look(r: Column) -> Column:
-        return F.struct(
-            r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"),
-            F.regexp_instr(line, r["pattern"]).alias("start"), F.length(F.call_function("regexp_extract", line, r["pattern"], F.lit(0))).alias("size"),
-        )
+        said = F.call_function("regexp_extract_all", line, r["pattern"], F.lit(0))
+        between = F.split(line, r["pattern"], -1)
+
+        def step(state: Column, pair: Column) -> Column:
+            start, size = state["at"] + F.length(pair["gap"]), F.length(pair["said"])
+            one = F.struct(r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"), start.alias("start"), size.alias("size"))
+            return F.struct((start + size).alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+
+        pairs = F.filter(F.arrays_zip(between.alias("gap"), said.alias("said")), lambda x: x["said"].isNotNull())
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(DETECTIONS).alias("found")), step, lambda state: state["found"])
 
-    found = F.filter(F.transform(F.filter(table, lambda r: F.contains(line, r["keyword"])), look), lambda d: (d["start"] > 0) & (d["size"] > 0))
+    hit = F.filter(table, lambda r: F.contains(line, r["keyword"]) & F.rlike(line, r["pattern"]))
+    found = F.flatten(F.transform(hit, look))
     return _unsuppressed(found)
 
 
@@ -208,7 +218,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ats = [F.coalesce(F.col(f"at_{k}"), F.array().cast("array<bigint>")) for k in range(len(PHRASES))]
     everywhere = F.concat(*ats)
     base = F.array_compact(F.array(*(F.when(F.size(a) > 0, F.lit(label)) for a, label in zip(ats, PHRASES, strict=True))))
-    found = F.coalesce(F.col("found"), F.array().cast("array<struct<priority:int,label:string,confidence:double,start:int,size:int>>"))
+    found = F.coalesce(F.col("found"), F.array().cast(DETECTIONS))
     counted = placed.select("doc_id", "n_words", everywhere.alias("places"), F.array_sort(base).alias("base"), F.transform(found, lambda d: d["label"]).alias("own"), F.transform(found, lambda d: d["confidence"]).alias("sure"))
     return counted.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),

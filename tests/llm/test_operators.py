@@ -240,6 +240,10 @@ def test_licenses(spark, awkward):
     assert got[1]["labels"] == "apache-2,apache-2.0" and got[2]["labels"] == "cc-by-nc,cc-by-nc-4.0"
     assert got[3]["labels"] == "gpl-3.0" and got[4]["labels"] == "bsd" and got[8]["labels"] == "lgpl-2.1"
     assert [got[k]["labels"] for k in (5, 6, 7)] == ["", "", ""] and got[5]["n_words"] == 0
+    line = "the gnu affero general public license v3 and later the gnu general public license, and once more gnu general public license, gpl-3.0"
+    again = spark.createDataFrame([(1, line), (2, line.replace(", gpl-3.0", "")), (3, "gpl-3.0 " * 3 + "mpl-2.0"), (4, "SPDX-License-Identifier: MIT; see the license terms")], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(again).collect()}
+    assert got == {1: "agpl-3.0,gpl,gpl-3.0", 2: "agpl-3.0,gpl", 3: "gpl-3.0,mpl-2.0", 4: "mit,unknown-license"}  # matches after a suppressed or a first one count
     assert licenses.scan_licenses(awkward).count() == len(awkward_rows())
     assert len(licenses.rules()) > 200
     for r in rows_of(QUERIES["op10_license_scan"](spark, DATA).join(documents(spark).select("doc_id", "text"), "doc_id")):
