@@ -87,13 +87,15 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
     bin_id, bin_length and place (first token in the bin).
 
     Rows that repeat are packed each; a null doc_id is packed like any other. An empty
-    table gives no rows. A shard has about ``SHARD`` pieces, whatever the skew: pieces
-    are dealt by id, number and text.
+    table gives no rows. A shard has at most about ``SHARD`` pieces, whatever the skew
+    and the lengths of texts: pieces are dealt by id, number and text.
     """
     largest = max(lengths)
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), token_count(F.col("text").cast("string")).alias("n"))
     pieces = tokens.select("doc_id", "tie", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest).cast("long"))).alias("piece"))
     pieces = pieces.select("doc_id", "tie", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * largest).alias("size"))
-    shards = max(1, -(-docs.count() // SHARD))
+    size = docs.agg(F.count("*").alias("docs"), F.sum(F.length(F.col("text").cast("string"))).alias("chars")).first()
+    most = size["docs"] + (size["chars"] or 0) // (2 * largest)  # a word takes two characters, so there are no more pieces
+    shards = max(1, -(-most // SHARD))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(_pack_shard(tuple(lengths)), "doc_id long, piece long, start long, size long, bin_id string, bin_length long, place long")
