@@ -90,7 +90,7 @@ def word_hash(word: str) -> int:
     return int(Scan([word], SPACE).hashes[0])
 
 
-def chunks(texts: Iterable[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``limit`` characters each; a longer
     text stands alone, whole."""
     first, size, n = 0, 0, 0
