@@ -25,6 +25,8 @@ from .textscan import ALNUM, Scan, chunks
 
 FOLDS, HELD = 4, 2
 PREFIXES, LEAST, STRONG = (4, 5, 6), 3, 2.0
+#: A longer token isn't one word: it is cut at characters that are no letters or signs.
+LONG = 64
 
 # Letters that a sign may stand for.
 STANDS_FOR = {
@@ -84,13 +86,14 @@ def decode(token: str, model: np.ndarray) -> str:
             runs[-1] = (c, runs[-1][1] + 1)
         else:
             runs.append((c, 1))
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # What a path has said is a chain of pieces, so that long tokens cost linear time.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for c, many in runs:
         letters = STANDS_FOR.get(c, c if _letter(c) else "")
         cost = 1.0 if c in STANDS_FOR else 0.0
         arcs = [(x * k, cost + (2.0 if many == 2 and k == 1 else 0.0)) for x in letters for k in ((1,) if many == 1 else (1, 2))]
         arcs = arcs or [("", 3.0)]  # anything else is noise between letters
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
+        ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (weight, said) in paths.items():
             for out, price in arcs:
                 x, y, w = a, b, weight - price
@@ -99,9 +102,13 @@ def decode(token: str, model: np.ndarray) -> str:
                     w += float(model[x, y, s])
                     x, y = y, s
                 if (x, y) not in ahead or ahead[x, y][0] < w:
-                    ahead[x, y] = (w, said + out)
+                    ahead[x, y] = (w, (said, out))
         paths = ahead
-    return max((w + float(model[a, b, 0]), said) for (a, b), (w, said) in paths.items())[1]
+    said, pieces = max(((w + float(model[a, b, 0]), said) for (a, b), (w, said) in paths.items()), key=lambda x: x[0])[1], []
+    while said:
+        said, out = said
+        pieces.append(out)
+    return "".join(reversed(pieces))
 
 
 def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
@@ -115,15 +122,18 @@ def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
     part = letter | sign
     triple = letter[:-2] & (_CODE[s[:-2]] == _CODE[s[1:-1]]) & (_CODE[s[1:-1]] == _CODE[s[2:]])
     hidden = np.concatenate((np.flatnonzero(sign[:-1] & letter[1:]), np.flatnonzero(letter[:-1] & sign[1:]) + 1, np.flatnonzero(triple)))
-    for at in np.unique(hidden).tolist():
-        k = int(np.searchsorted(edges, at))
-        low, high = int(edges[k - 1]) + 1 if k else 0, int(edges[k]) if k < len(edges) else len(s)
-        while low < high and not part[low]:
-            low += 1
-        while low < high and not (letter[high - 1] or 0x30 <= s[high - 1] < 0x3A):
-            high -= 1
-        if high - low >= 3 and letter[low:high].any() and (sign[low:high].any() or triple[low : high - 2].any()):
-            spans.add((low, high))
+    for k in np.unique(np.searchsorted(edges, hidden)).tolist():
+        tokens = [(int(edges[k - 1]) + 1 if k else 0, int(edges[k]) if k < len(edges) else len(s))]
+        if tokens[0][1] - tokens[0][0] > LONG:
+            step = np.diff(np.concatenate(([0], part[slice(*tokens[0])].astype(np.int8), [0])))
+            tokens = list(zip((tokens[0][0] + np.flatnonzero(step > 0)).tolist(), (tokens[0][0] + np.flatnonzero(step < 0)).tolist(), strict=True))
+        for low, high in tokens:
+            while low < high and not part[low]:
+                low += 1
+            while low < high and not (letter[high - 1] or 0x30 <= s[high - 1] < 0x3A):
+                high -= 1
+            if high - low >= 3 and letter[low:high].any() and (sign[low:high].any() or triple[low : high - 2].any()):
+                spans.add((low, high))
     lone = letter.copy()
     lone[1:] &= ~letter[:-1]
     lone[:-1] &= ~letter[1:]
@@ -150,12 +160,10 @@ def restore(text: str | None, model: np.ndarray, known: dict[str, str] | None =
         if low < at:
             continue
         token = text[low:high]
-        if high - low > 64:  # no word: long runs of signs
-            continue
         plain = None if known is None else known.get(token)
         if plain is None:
             plain = decode(token, model)
-            if known is not None and len(known) < 100_000:
+            if known is not None and high - low <= LONG and len(known) < 100_000:
                 known[token] = plain
         out += [text[at:low], plain]
         at = high
