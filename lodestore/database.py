@@ -97,8 +97,12 @@ class Database:
     def _home(self, key: str) -> tuple[str, DataFrame]:
         return self.entity(key)[TYPE], self.spark.createDataFrame([(key,)], f"`{ID}` string")
 
-    def patch(self, key: str, changes: dict[str, mutate.Patch]) -> None:
+    def patch(self, key: str, changes: dict[str, mutate.Patch], expected: dict[str, Any] | None = None) -> None:
+        """Change attributes of one entity. Where one of ``expected`` (attribute -> value)
+        is present with another value, nothing changes and ConstraintError is raised."""
         name, keys = self._home(key)
+        if expected:
+            mutate.require_none(mutate.mismatched(self.frame(name), keys, expected), "values aren't as expected")
         self.batch([(name, lambda f: mutate.patch_ids(f, keys, changes))])
 
     def delete(self, key: str) -> None:

@@ -47,6 +47,15 @@ def literal(value: Any) -> Expr:
     return Expr("literal", (value,))
 
 
+def ident(name: str) -> Expr:
+    """The id of the entity with this ident; ``select.run`` looks it up."""
+    return Expr("ident", (name,))
+
+
+def list_of(*items: Any) -> Expr:
+    return Expr("list", tuple(map(_of, items)))
+
+
 def _binary(op: str):
     def build(left: Any, right: Any) -> Expr:
         return Expr(op, (_of(left), _of(right)))
@@ -55,7 +64,12 @@ def _binary(op: str):
     return build
 
 
-eq, neq, lt, lte, gt, gte, in_, contains = (_binary(x) for x in ("eq", "neq", "lt", "lte", "gt", "gte", "in", "contains"))
+eq, neq, lt, lte, gt, gte, in_, contains, starts_with = (_binary(x) for x in ("eq", "neq", "lt", "lte", "gt", "gte", "in", "contains", "starts_with"))
+
+
+def between(x: Any, low: Any, high: Any) -> Expr:
+    """Both ends included."""
+    return gte(x, low) & lte(x, high)
 
 
 def regex(left: Any, pattern: str, ignore_case: bool = False) -> Expr:
@@ -135,6 +149,10 @@ class Lowering:
             v = e.args[0]
             column = F.array(*map(F.lit, v)) if isinstance(v, list | tuple) else F.lit(v)
             return Value(column, _literal_kind(v), v, True)
+        if e.op == "list":
+            return Value(F.array(*(self.value(x).column for x in e.args)), "list")
+        if e.op == "ident":
+            raise SchemaError(f"{e.args[0]!r} must be looked up before it is lowered")
         if e.op == "if":
             then, other = self.value(e.args[1]), self.value(e.args[2])
             if then.kind != other.kind and "null" not in (then.kind, other.kind):
@@ -209,6 +227,9 @@ class Lowering:
                 if a.kind == b.kind == "string":
                     return F.contains(a.column, b.column)
                 return F.arrays_overlap(a.column, b.column) if a.kind == b.kind == "list" else F.lit(False)
+            case "starts_with":
+                a, b = self.value(e.args[0]), self.value(e.args[1])
+                return F.startswith(a.column, b.column) if a.kind == b.kind == "string" else F.lit(False)
             case "regex":
                 return self._regex(*e.args)
             case "inherits":
@@ -218,6 +239,8 @@ class Lowering:
                 return v.column if v.kind == "bool" else F.lit(False)
 
     def _in(self, left: Expr, right: Expr) -> Column:
+        if right.op == "list":
+            return reduce(lambda p, q: p | q, (self.equal(*self.pair(left, x)) for x in right.args), F.lit(False))
         a, b = self.value(left), self.value(right)
         if b.kind != "list":
             return F.lit(False)

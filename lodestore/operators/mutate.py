@@ -106,6 +106,11 @@ def remove() -> Patch:
     return lambda a: F.lit(None)
 
 
+def remove_if(old: Any) -> Patch:
+    """Remove a value that equals ``old``; others stay."""
+    return lambda a: F.when(a == F.lit(old), F.lit(None)).otherwise(a)
+
+
 def remove_value(old: Any) -> Patch:
     """Drop equal elements of a list."""
     return lambda a: F.filter(a, lambda x: ~x.eqNullSafe(F.lit(old)))
@@ -147,6 +152,15 @@ def lacking_required(frame: DataFrame, registry: Registry, name: str) -> DataFra
     return frame.where(condition)
 
 
+def mismatched(frame: DataFrame, keys: DataFrame, expected: dict[str, Any]) -> DataFrame:
+    """Those of the rows that ``keys`` name where an attribute is present and isn't as
+    expected: a patch that must replace or remove a given value may not be applied."""
+    wrong = F.lit(False)
+    for name, old in expected.items():
+        wrong = wrong | F.coalesce(F.col(f"`{name}`") != F.lit(old), F.lit(False))
+    return _only(frame, keys, "left_semi").where(wrong)
+
+
 def repeated(frame: DataFrame, attribute: str) -> DataFrame:
     """Values of a unique attribute that several entities have, and how many."""
     a = F.col(f"`{attribute}`")

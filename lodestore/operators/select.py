@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import natural_key
-from ..schema import COUNT, ID, Registry
-from .expressions import Expr, Lowering, attr
+from ..schema import COUNT, ID, IDENT, Registry, SchemaError
+from .expressions import Expr, Lowering, attr, literal
 
 
 def entities(frames: dict[str, DataFrame]) -> DataFrame:
@@ -29,10 +29,36 @@ class Select:
     count: bool = False
 
 
+def _idents(e) -> set[str]:
+    if not isinstance(e, Expr):
+        return set()
+    return {e.args[0]} if e.op == "ident" else set().union(*map(_idents, e.args))
+
+
+def _named(e, ids: dict[str, str]):
+    if not isinstance(e, Expr):
+        return e
+    return literal(ids[e.args[0]]) if e.op == "ident" else Expr(e.op, tuple(_named(x, ids) for x in e.args))
+
+
+def resolve(source: DataFrame, query: Select) -> Select:
+    """``query`` with the ids of the entities that it names by ident: one lookup for all,
+    which gives a row per name. An ident that no entity has is an error."""
+    parts = [query.where, *(k for k, _ in query.order)]
+    names = set().union(*map(_idents, parts))
+    if not names:
+        return query
+    found = source.where(F.col(f"`{IDENT}`").isin(sorted(names))).groupBy(f"`{IDENT}`").agg(F.min(f"`{ID}`")).collect()
+    ids = dict(map(tuple, found))
+    if lacking := names - set(ids):
+        raise SchemaError(f"no entity has the ident {', '.join(sorted(lacking))}")
+    return replace(query, where=_named(query.where, ids), order=[(_named(k, ids), d) for k, d in query.order])
+
+
 def run(source: DataFrame, registry: Registry, query: Select, natural: bool = True) -> DataFrame:
     """The result of ``query``. Ascending order puts absent values first, but last for
     references; the id breaks ties, so pages are stable."""
-    lower, out = Lowering(registry, natural), source
+    lower, out, query = Lowering(registry, natural), source, resolve(source, query)
     if query.where is not None:
         out = out.where(lower.filter(query.where))
     if query.order:

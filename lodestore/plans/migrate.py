@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import inspect
+import types
+import uuid
 from dataclasses import dataclass, field, replace
-from typing import Any
+from typing import Any, get_args, get_origin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +116,29 @@ def delete_class(state: State, name: str) -> State:
 ACTIONS = {f.__name__: f for f in (create_attribute, upsert_attribute, change_type, create_index, delete_index, delete_attribute, create_class, upsert_class, add_attribute, make_optional, remove_attribute, delete_class)}
 
 
+#: Python types of dataclass fields and the attribute types that hold them.
+DECLARED = {bool: "bool", int: "int", float: "float", str: "string", bytes: "bytes", datetime.datetime: "datetime", uuid.UUID: "ref"}
+
+
+def declared(cls: type, namespace: str) -> list[tuple]:
+    """The actions that bring in the class that a dataclass declares: own fields are
+    attributes, ``X | None`` is optional, ``list[X]`` a list, and base dataclasses are
+    parents, which must be declared before."""
+    actions, own = [], {}
+    for name, hint in inspect.get_annotations(cls, eval_str=True).items():
+        parts = get_args(hint) if isinstance(hint, types.UnionType) else (hint,)
+        given = [p for p in parts if p is not types.NoneType]
+        many = get_origin(given[0]) is list
+        inner = get_args(given[0])[0] if many else given[0]
+        if len(given) != 1 or inner not in DECLARED:
+            raise SchemaError(f"{hint!r} of {name!r} can't be an attribute's type")
+        a = Attribute(f"{namespace}/{name}", f"list<{DECLARED[inner]}>" if many else DECLARED[inner])
+        actions.append(("upsert_attribute", a))
+        own[a.name] = len(given) == len(parts)
+    parents = tuple(f"{namespace}/{b.__name__}" for b in cls.__bases__ if hasattr(b, "__dataclass_fields__"))
+    return [*actions, ("upsert_class", EntityClass(f"{namespace}/{cls.__name__}", own, parents))]
+
+
 def migrate(state: State, name: str, actions: list[tuple]) -> State:
     """Apply (action, *arguments) in order; all or nothing. A name is used once."""
     if name in state.applied:

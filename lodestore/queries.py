@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.values import coerce_column, entity_id
 from .operators import mutate
-from .operators.expressions import attr, contains, eq, gt, gte, if_, in_, inherits, is_class, is_not_null, is_null, lt, lte, neq, regex
+from .operators.expressions import attr, between, contains, eq, gt, gte, ident, if_, in_, inherits, is_class, is_not_null, is_null, list_of, lt, lte, neq, regex, starts_with
 from .operators.select import Select, by_id, entities, expand, run
 from .plans import migrate as plans
 from .schema import COUNT, ID, IDENT, TYPE, Attribute
@@ -81,6 +81,9 @@ _party((gt(_BALANCE, 0) & eq(_SEGMENT, "MACHINERY")) | ~lt(_OTHER, 9000), "coale
 _party(~_BALANCE, "true", "not_of_number")
 _party(in_(_SEGMENT, ["BUILDING", "FURNITURE"]), "c_mktsegment IN ('BUILDING', 'FURNITURE')", "in_list")
 _party(~in_(_SEGMENT, ["BUILDING", None]), "NOT (c_mktsegment IS NULL OR c_mktsegment = 'BUILDING')", "not_in_list")
+_party(in_(_SEGMENT, list_of(_NAME, "BUILDING")), "c_mktsegment IS NOT DISTINCT FROM c_name OR c_mktsegment = 'BUILDING'", "in_expressions")
+_party(between(_BALANCE, 100, 2000), "c_acctbal BETWEEN 100 AND 2000", "range_scan")
+_party(starts_with(_SEGMENT, "MA"), "starts_with(c_mktsegment, 'MA')", "prefix_scan")
 _party(contains(_NAME, "#00000000"), "contains(c_name, '#00000000')", "contains_text")
 _party(regex(_NAME, r"0+1\d$"), r"regexp_matches(c_name, '0+1\d$')", "regex_match")
 _party(regex(_SEGMENT, "^mach", True), "regexp_matches(c_mktsegment, '^mach', 'i')", "regex_any_case")
@@ -102,6 +105,13 @@ def id_lookup(spark, sf_dir):
     return _show(by_id(entities(frames), key))
 
 
+@register("ident_reference", f"SELECT {_id('customer', 'c_custkey')} AS id FROM customer WHERE c_nationkey = 7")
+def ident_reference(spark, sf_dir):
+    """Customers of the nation that an ident names."""
+    frames, registry = _frames(spark, sf_dir, "customer", "nation")
+    return run(entities(frames), registry, Select(eq(_REF, ident("nation-7")))).select(F.col(f"`{ID}`").alias("id"))
+
+
 def _count(name: str, where, sql: str, **more) -> None:
     @register(name, sql)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +236,22 @@ def migrate_to_list(spark, sf_dir):
     return state.frames["customer"].select(F.col(f"`{ID}`").alias("id"), F.col("`tpch/c_mktsegment`").alias("segments"))
 
 
+@register("migrate_drop_attribute", f"SELECT {_C} AS id, c_acctbal AS balance, false AS has_segment FROM customer")
+def migrate_drop_attribute(spark, sf_dir):
+    name = "tpch/c_mktsegment"
+    state = plans.migrate(_state(spark, sf_dir, "customer"), "drop", [("remove_attribute", "tpch/Customer", name), ("delete_attribute", name)])
+    frame = state.frames["customer"]
+    return frame.select(F.col(f"`{ID}`").alias("id"), F.col("`tpch/c_acctbal`").alias("balance"), F.lit(name in frame.columns).alias("has_segment"))
+
+
+@register("migrate_drop_class", f"SELECT {_C} AS id, 'tpch/Customer' AS class FROM customer")
+def migrate_drop_class(spark, sf_dir):
+    state = _state(spark, sf_dir, "customer", "supplier")
+    state.frames = {"tpch/Customer": state.frames["customer"], "tpch/Supplier": state.frames["supplier"]}
+    state = plans.migrate(state, "drop", [("delete_class", "tpch/Supplier")])
+    return _show(entities(state.frames)).select("id", "class")
+
+
 _EVENTS = "SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'replace' WHEN 'error' THEN 'delete' ELSE 'merge' END AS op, user_id::VARCHAR AS id, CASE WHEN event_type IN ('signup', 'purchase') THEN value END AS spent, CASE WHEN event_type <> 'purchase' THEN event_type END AS last_type FROM events"
 
 

@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import uuid
+from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from lodestore.database import Database, NotFound
 from lodestore.functions.values import coerce, coerce_column, natural_key
 from lodestore.operators import mutate
-from lodestore.operators.expressions import Lowering, attr, contains, eq, gt, gte, if_, in_, is_null, literal, lt, lte, neq, regex
+from lodestore.operators.expressions import Lowering, attr, between, contains, eq, gt, gte, ident, if_, in_, is_null, list_of, literal, lt, lte, neq, regex, starts_with
 from lodestore.operators.select import Select
+from lodestore.plans.migrate import declared
 from lodestore.schema import COUNT, ID, Attribute, EntityClass, Registry, SchemaError
 from lodestore.sources import log
 from lodestore.streaming.tail import follow
@@ -120,6 +122,64 @@ def test_expressions(spark):
         db.select(Select(eq(attr("test/none"), 1)))
 
 
+def test_idents_lists_and_prefixes(spark):
+    db, a = database(spark), str(uuid.uuid4())
+    db.create("test/Image", [{ID: a, "test/text": "alpha", "test/int": 3}, {"test/text": "beta"}])
+    db.create("test/Note", [{"test/of": a, "core/ident": "note"}])
+    db.migrate("names", [("add_attribute", "test/File", "core/ident", False)])
+    db.merge("test/Image", [{ID: a, "core/ident": "picture"}])
+    text, i, of = attr("test/text"), attr("test/int"), attr("test/of")
+    for where, n in (
+        (eq(of, ident("picture")), 1), (~eq(of, ident("picture")), 2), (in_(of, list_of(ident("picture"), ident("note"))), 1), (starts_with(text, "al"), 1), (~starts_with(text, "al"), 2),
+        (starts_with(i, "a"), 0), (between(i, 3, 4), 1), (between(i, 4, 5), 0), (in_(i, list_of(3, 4)), 1), (in_(i, list_of()), 0), (in_(i, list_of(None)), 2), (in_(text, list_of(text)), 3),
+    ):
+        assert db.select(Select(where, count=True)).first()[0] == n, where
+    with pytest.raises(SchemaError):
+        db.select(Select(eq(of, ident("nothing"))))
+
+
+def test_expected_values(spark):
+    db, a = database(spark), str(uuid.uuid4())
+    db.create("test/File", [{ID: a, "test/text": "x"}])
+    before = db.state
+    with pytest.raises(mutate.ConstraintError):
+        db.patch(a, {"test/text": mutate.put("z")}, {"test/text": "y"})
+    assert db.state is before
+    db.patch(a, {"test/text": mutate.put("z"), "test/int": mutate.put(1)}, {"test/text": "x", "test/int": 5})  # absent values may be set
+    assert db.entity(a)["test/text"] == "z" and db.entity(a)["test/int"] == 1
+    db.patch(a, {"test/text": mutate.remove_if("other"), "test/int": mutate.remove_if(1)})
+    assert db.entity(a)["test/text"] == "z" and "test/int" not in db.entity(a)
+
+
+@dataclass
+class Thing:
+    label: str
+    tags: list[str]
+    owner: uuid.UUID | None = None
+
+
+@dataclass
+class Tool(Thing):
+    weight: float | None = None
+
+
+@dataclass
+class Odd:
+    what: complex
+
+
+def test_declared_classes(spark):
+    db = Database(spark)
+    db.migrate("things", declared(Thing, "kit") + declared(Tool, "kit"))
+    assert db.registry.members("kit/Tool") == {"kit/label": True, "kit/tags": True, "kit/owner": False, "kit/weight": False}
+    db.create("kit/Tool", [{"kit/label": "saw", "kit/weight": 2, "core/id": str(uuid.UUID(int=1))}])
+    assert db.entity(str(uuid.UUID(int=1))) == {ID: str(uuid.UUID(int=1)), "core/type": "kit/Tool", "kit/label": "saw", "kit/tags": [], "kit/weight": 2.0}
+    with pytest.raises(mutate.ConstraintError):
+        db.create("kit/Thing", [{"kit/tags": ["a"]}])
+    with pytest.raises(SchemaError):
+        declared(Odd, "kit")
+
+
 def test_natural_order(spark):
     names = ["a10", "a9", "a010b", "a10a", "b", "", "a", "9", "10", "a" + "9" * 50, "a1" + "0" * 50]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "s string").orderBy(natural_key(F.col("s"))).collect()]
