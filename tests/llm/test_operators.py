@@ -232,6 +232,24 @@ def test_seek_table():
     assert warc.seek_table(warc.seal(frames, [100, 70])) == [(0, 10, 100), (10, 7, 70)]
 
 
+def test_license_gates(spark):
+    """Each rule's own example is found without any other word that opens the gate."""
+    examples = [("grant", n, f"released under the {n}") for n in ("mit", "isc", "wtfpl", "zlib", "mpl 2.0", "apache 2.0")]
+    examples += [("bare", n, n) for n in ("Apache-2.0", "mpl-2.0", "EPL-2.0", "bsl-1.0", "cecill-2.1", "ASL 2.0", "gfdl-1.3", "osl-3.0", "upl-1.0", "psf-2.0", "odbl", "0BSD", "LGPL-2.1", "agplv3", "busl-1.1", "CC0")]
+    examples += [("said", "mit", 'x: "license": "MIT"'), ("said", "isc", "License: ISC"), ("other", "copyright", "Copyright 2020\nApache-2.0")]
+    docs = spark.createDataFrame([(k, text) for k, (_, _, text) in enumerate(examples)] + [(100, "wir kommen mit dem Zug"), (101, "permit example discuss replace accept")], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan_licenses(docs).collect()}
+    alias = {"mpl 2.0": "mpl-2.0", "apache 2.0": "apache-2.0", "asl 2.0": "apache-2.0", "odbl": "odbl-1.0", "agplv3": "agpl-3.0", "cc0": "cc0-1.0"}
+    for k, (_, name, _) in enumerate(examples):
+        assert alias.get(name.lower(), name.lower()) in got[k], examples[k]
+    assert "apache-2.0" in got[len(examples) - 1]
+    assert got[100] == got[101] == {""}
+    table = licenses.rules()
+    alone = spark.createDataFrame([(" ".join(s).upper(),) for r in table for s in r["need"]], "text string")
+    assert alone.where(~licenses._gated(alone["text"], F.lower("text"), table)).collect() == []
+    assert licenses.needed(r"ab(?:cd|ef)? ?gh[ij]k{2,}|x-1\.0") == [["ab", "gh"], ["x-1.0"]]
+
+
 def test_licenses(spark, awkward):
     texts = ["Released UNDER the, MIT license. under the mit license", "Apache License, Version 2.0", "x\nCC BY-NC 4.0 here", "SPDX-License-Identifier: GPL-3.0", "Redistribution and use in source and binary forms", None, "", "nothing", "distributed under the GNU Lesser General Public License v2.1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
