@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, on column expressions alone (operator 10).
 
 Rules are regular expressions with a priority, a label and a confidence, matched over the
-whole lower-cased text. The words that a match
+whole lower-cased text, in which runs of blanks are one blank or line break and comment
+marks at line starts are gone, so that a reference may be wrapped. The words that a match
 must contain are read from the patterns: a text without any isn't examined further, and a
 rule is only tried where it has its words. A rule gives all its matches. A detection is
 suppressed if its interval lies within that of one with a higher priority, or with the
@@ -132,11 +133,12 @@ WRITTEN = [
     (10, "unknown-license", r"without (?:any )?warrant(?:y|ies)", 0.2),
 ]
 
-_GRANT = r"\b(?:licen[sc]ed|released|distributed|available|provided|published|covered|governed)\b[^.\n]{0,40}?\b(?:under|by)(?: the)?(?: terms of)?(?: the)? "
+_GRANT = r"\b(?:licen[sc]ed|released|distributed|available|provided|published|covered|governed)\b[^.]{0,40}?\b(?:under|by)(?: the)?(?: terms of)?(?: the)? "
 
 
 def rules() -> list[dict]:
-    """All rules in their order: priority downwards, then as listed. ``need`` lists sets of words, of which
+    """All rules in their order: priority downwards, then as listed. A blank in a pattern
+    is a blank or a line break of the tidied text; ``need`` lists sets of words, of which
     every text that the pattern matches contains one set whole."""
     out = [(100, label, rf"spdx-licen[sc]e-identifier: ?{label.replace('.', chr(92) + '.')}(?![\w.-])", 1.0) for label, _ in NAMES]
     # A further word counts to the reference only in the same line: the next may begin another.
@@ -144,7 +146,7 @@ def rules() -> list[dict]:
     out += [(80, label, _named(name), 0.75) for label, name in NAMES]
     out += WRITTEN
     keys = ("priority", "label", "pattern", "confidence", "need")
-    return [dict(zip(keys, (*r[:2], r[2], r[3], needed(r[2])), strict=True)) for r in sorted(out, key=lambda r: -r[0])]
+    return [dict(zip(keys, (*r[:2], "(?s)" + r[2].replace(" ", r"\s"), r[3], needed(r[2])), strict=True)) for r in sorted(out, key=lambda r: -r[0])]
 
 
 def _named(name: str) -> str:
@@ -210,6 +212,19 @@ def gates(table: list[dict]) -> list[str]:
     return out
 
 
+#: A run of blanks; a line break with comment marks that begin the next line.
+_SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_BREAKS = r"\n\r\x0B\f\x{85}\x{2028}\x{2029}"
+_LINE_BREAK = rf"[{_SPACES}&&[^{_BREAKS}]]*+[{_BREAKS}](?:[{_SPACES}/*#;%>|!\"<-]*+(?:(?:dnl|rem)[ \t]++)?+)"
+_BLANKS = rf"[{_SPACES}&&[^{_BREAKS}]]++"
+
+
+def _tidy(low: Column) -> Column:
+    """``low`` with one blank for a run of blanks, and one line break for a run that has
+    any, with the comment marks behind it."""
+    return F.regexp_replace(F.regexp_replace(low, _LINE_BREAK, "\n"), _BLANKS, " ")
+
+
 DETECTIONS = "array<struct<priority:int,label:string,confidence:double,start:int,size:int>>"
 KEPT = "array<struct<label:string,confidence:double>>"
 
@@ -289,7 +304,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     phrased = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(lower, F.lit(w)) for w in p)) for p in PHRASES.values()))
     gated = docs.select("doc_id", F.regexp_count(text, F.lit(both)).cast("long").alias("n_words"), text.alias("text"), _gated(text, lower, listed).alias("gated"), phrased.alias("phrased"))
     lowered = gated.select("doc_id", "n_words", "gated", "phrased", F.when(F.col("gated") | F.col("phrased"), ascii_lower(F.col("text"))).alias("low"))
-    split = lowered.select("doc_id", "n_words", F.when(F.col("phrased"), F.regexp_extract_all("low", F.lit(ALNUM_WORD), 0)).alias("words"), F.when(F.col("gated"), F.col("low")).alias("tidy"))
+    split = lowered.select("doc_id", "n_words", F.when(F.col("phrased"), F.regexp_extract_all("low", F.lit(ALNUM_WORD), 0)).alias("words"), F.when(F.col("gated"), _tidy(F.col("low"))).alias("tidy"))
     # The words are found once per text, and bound to a name for all rules.
     has = F.array(F.filter(words, lambda w: F.contains(F.col("tidy"), w)))
     asked = F.transform(has, lambda h: F.filter(table, lambda r: F.exists(r["need"], lambda s: F.size(F.array_except(s, h)) == 0)))[0]

@@ -250,6 +250,23 @@ def test_license_gates(spark):
     assert licenses.needed(r"ab(?:cd|ef)? ?gh[ij]k{2,}|x-1\.0") == [["ab", "gh"], ["x-1.0"]]
 
 
+def test_licenses_in_wrapped_text(spark):
+    texts = {
+        1: ("under the terms of the GNU Lesser General Public\nLicense as published by", "lgpl,unknown-license"),
+        2: ("# Neither the name of the copyright holder nor the names of its\n# contributors may be used to endorse or promote", "bsd-3-clause"),
+        3: (" * Apache License,\r\n * Version 2.0", "apache-2,apache-2.0"),
+        4: ("GNU  Lesser\tGeneral Public License", "lgpl"),
+        5: ("// Redistribution and use in source\n// and binary  forms", "bsd"),
+        6: ("released under MIT\nISC license", "isc,mit"),  # a line break may end a reference
+        7: ("gnu affero general\n-- public license v3", "agpl-3.0"),
+        8: ("Released under the\n\n mpl 2.0. " + "filler " * 3000 + "gnu general\npublic license", "gpl,mpl-2.0"),
+    }
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()}
+    assert got[1] in ("lgpl", "lgpl,unknown-license")
+    assert {k: got[k] for k in texts if k > 1} == {k: want for k, (_, want) in texts.items() if k > 1}
+
+
 def test_licenses(spark, awkward):
     texts = ["Released UNDER the, MIT license. under the mit license", "Apache License, Version 2.0", "x\nCC BY-NC 4.0 here", "SPDX-License-Identifier: GPL-3.0", "Redistribution and use in source and binary forms", None, "", "nothing", "distributed under the GNU Lesser General Public License v2.1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
