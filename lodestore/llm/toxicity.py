@@ -76,10 +76,11 @@ def _letter(c: str) -> int:
     return int(_CODE[ord(c)]) if len(c) == 1 and ord(c) < 0x250 else 0
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def decode(token: str, model: np.ndarray, breaks: bool = False) -> str:
     """The likeliest letters behind a disguised token (lower case). The lattice has a
     node per run of equal characters; a node's arcs spell one or two letters, a sign
-    costs a little per use and dropping one letter of a plain pair more."""
+    costs a little per use and dropping one letter of a plain pair more. With ``breaks``
+    a gap may also part two words, as the character model has it."""
     runs: list[tuple[str, int]] = []
     for c in token.lower():
         if runs and runs[-1][0] == c:
@@ -92,7 +93,7 @@ def decode(token: str, model: np.ndarray) -> str:
         letters = STANDS_FOR.get(c, c if _letter(c) else "")
         cost = 1.0 if c in STANDS_FOR else 0.0
         arcs = [(x * k, cost + (2.0 if many == 2 and k == 1 else 0.0)) for x in letters for k in ((1,) if many == 1 else (1, 2))]
-        arcs = arcs or [("", 3.0)]  # anything else is noise between letters
+        arcs = arcs or [("", 3.0), (" ", 3.0)][: 1 + breaks]  # anything else is noise between letters
         ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (weight, said) in paths.items():
             for out, price in arcs:
@@ -113,7 +114,8 @@ def decode(token: str, model: np.ndarray) -> str:
 
 def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
     """Spans of tokens that look disguised: a sign between letters, three equal letters
-    in a row, or three or more single letters set apart by one sign or blank each."""
+    in a row, two or more doubled letters, or three or more single letters and signs set
+    apart by up to three other characters each, outside addresses if the gaps differ."""
     letter = _CODE[s] > 0
     sign = _SIGN[s]
     blank = np.isin(s, (0x20, 9, 10, 11, 12, 13))
@@ -121,7 +123,11 @@ def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(blank)
     part = letter | sign
     triple = letter[:-2] & (_CODE[s[:-2]] == _CODE[s[1:-1]]) & (_CODE[s[1:-1]] == _CODE[s[2:]])
-    hidden = np.concatenate((np.flatnonzero(sign[:-1] & letter[1:]), np.flatnonzero(letter[:-1] & sign[1:]) + 1, np.flatnonzero(triple)))
+    double = letter[:-1] & (_CODE[s[:-1]] == _CODE[s[1:]])
+    pairs = np.flatnonzero(double)
+    home = np.searchsorted(edges, pairs)
+    pairs = pairs[np.bincount(home)[home] >= 2] if len(pairs) else pairs
+    hidden = np.concatenate((np.flatnonzero(sign[:-1] & letter[1:]), np.flatnonzero(letter[:-1] & sign[1:]) + 1, np.flatnonzero(triple), pairs))
     for k in np.unique(np.searchsorted(edges, hidden)).tolist():
         tokens = [(int(edges[k - 1]) + 1 if k else 0, int(edges[k]) if k < len(edges) else len(s))]
         if tokens[0][1] - tokens[0][0] > LONG:
@@ -132,25 +138,42 @@ def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
                 low += 1
             while low < high and not (letter[high - 1] or 0x30 <= s[high - 1] < 0x3A):
                 high -= 1
-            if high - low >= 3 and letter[low:high].any() and (sign[low:high].any() or triple[low : high - 2].any()):
+            if high - low >= 3 and letter[low:high].any() and (sign[low:high].any() or triple[low : high - 2].any() or np.count_nonzero(double[low : high - 1]) >= 2):
                 spans.add((low, high))
-    lone = letter.copy()
-    lone[1:] &= ~letter[:-1]
-    lone[:-1] &= ~letter[1:]
+    lone = part.copy()
+    lone[1:] &= ~part[:-1]
+    lone[:-1] &= ~part[1:]
     ones = np.flatnonzero(lone)
     if len(ones) >= 3:
-        between = s[np.minimum(ones[:-1] + 1, len(s) - 1)]
-        near = (np.diff(ones) == 2) & np.isin(between, [ord(c) for c in " .-_*"])
-        near[1:] &= ~near[:-1] | (between[1:] == between[:-1])  # one kind of gap in a run
+        # Nothing but marks and blanks may stand between: no word, number or other script.
+        solid = part | (s == 0) | ((s >= 0x30) & (s < 0x3A)) | (s >= 0x80)
+        near = (np.diff(ones) <= 4) & (np.diff(np.cumsum(solid)[ones]) == 1)
         cuts = np.flatnonzero(~near)
         for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ones) - 1])), strict=True):
-            if b - a >= 2:
-                spans.add((int(ones[a]), int(ones[b]) + 1))
+            if b - a >= 2 and np.count_nonzero(letter[ones[a : b + 1]]) >= 2:
+                low, high = int(ones[a]), int(ones[b]) + 1
+                gaps = s[low:high][~part[low:high]]
+                first = int(np.searchsorted(edges, low))
+                token = s[int(edges[first - 1]) + 1 if first else 0 : high].tolist()
+                if (gaps == gaps[0]).all() or not any(token[k : k + 3] == [0x3A, 0x2F, 0x2F] for k in range(len(token) - 2)):
+                    spans.add((low, high))
     return sorted(spans)
 
 
+def _readings(token: str, model: np.ndarray) -> str:
+    """The decoded token; where another reading is as well founded, both: letters set
+    apart as one word and as several, and doubled letters as they are written."""
+    plain = decode(token, model)
+    out = [plain]
+    if any(not (_letter(c) or c in STANDS_FOR) for c in token):
+        out.append(" ".join(decode(token, model, True).split()))
+    elif all(_letter(c) for c in token) and not any(a == b == c for a, b, c in zip(token.lower(), token[1:].lower(), token[2:].lower())):
+        out.insert(0, token)
+    return " ".join(dict.fromkeys(out))
+
+
 def restore(text: str | None, model: np.ndarray, known: dict[str, str] | None = None) -> str:
-    """``text`` with disguised tokens decoded; all else is as it was. Null is empty."""
+    """``text`` with disguised tokens decoded (see ``_readings``); all else is as it was. Null is empty."""
     text = text or ""
     s = codes(text)
     if len(s) < 3:
@@ -162,7 +185,7 @@ def restore(text: str | None, model: np.ndarray, known: dict[str, str] | None =
         token = text[low:high]
         plain = None if known is None else known.get(token)
         if plain is None:
-            plain = decode(token, model)
+            plain = _readings(token, model)
             if known is not None and high - low <= LONG and len(known) < 100_000:
                 known[token] = plain
         out += [text[at:low], plain]

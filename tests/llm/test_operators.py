@@ -358,6 +358,19 @@ def test_restore(spark):
     assert toxicity.restore(None, model) == ""
 
 
+def test_restore_mixed_disguises(spark):
+    plain = " ".join("the idiot was stupid and a loser is a pathetic address trash".split() * 50)
+    model = toxicity.character_model(spark.createDataFrame([(plain,)], "text string"))
+    pure = [("so i d i o t", "idiot"), ("l-o-s-e-r", "loser")]
+    mixed = [("i d 1 0 t", "idiot"), ("l 0 s e r", "loser"), ("s t u p 1 d", "stupid"), ("l  o  s  e  r", "loser"), ("l,o,s,e,r", "loser"), ("l/o/s/e/r", "loser"), ("l.o-s.e-r", "loser")]
+    mixed += [("iiddiioott", "idiot"), ("stuupiid", "stupid"), ("a l o s e r", "loser"), ("i d i o t  l o s e r", "loser")]
+    for said, meant in pure + mixed:
+        assert meant in toxicity.restore(f"so {said} there", model).split(), said
+    assert "address" in toxicity.restore("the address", model).split()
+    for same_ in ("1 2 3 4", "see http://a.b/c", "x 12 y 13 z"):
+        assert toxicity.restore(same_, model) == same_
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_stages(spark, awkward, labels, tmp_path, empty):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
