@@ -35,18 +35,44 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: this cuts the
     lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lodestore-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables there are; ``discard`` takes it to drop those written since."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``materialise`` wrote, but for the first ``since`` and the
+    last ``keep``: for when all that was read from them is written. A caller of a query
+    does so when its result is stored."""
+    end = max(since, len(_written) - keep)
+    for name in _written[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[since:end]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_id(column: str) -> Column:
+    """A long id as text: a nullable long in a pandas batch would become a float and lose
+    its last digits."""
+    return F.col(column).cast("long").cast("string").alias(column)
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

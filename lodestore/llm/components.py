@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import discard, materialise, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,18 +30,16 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     and nulls don't matter. Returns ``node`` and ``component`` for nodes that have a
     link to another node. Each round halves the longest paths, and the contraction
     uses only grouped minima and equi-joins, so a node with very many links is split
-    by the adaptive skew join. Lineage is cut by a checkpoint each round.
+    by the adaptive skew join. Each round's links are a written table; the one before is
+    deleted then.
     """
-    shared_dir(links.sparkSession)
-    edges = (
-        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
+    since, spark = written(), links.sparkSession
+    sides = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = materialise(sides.distinct(), "edges")
     before = None
     for _ in range(rounds):
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = materialise(_small_star(_large_star(edges)), "edges")
+        discard(spark, since, keep=1)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

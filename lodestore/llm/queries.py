@@ -10,7 +10,7 @@ from .common import table
 
 
 def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("record_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,20 @@ document costs little more than one pass over its shingles. Equal sets have equa
 registers, registers merge by maximum, and two registers are equal with a
 probability close to the Jaccard similarity.
 
-1. Documents with equal sets (128-bit digest of the sorted shingles) form a class.
-2. Class representatives that agree on a band of four registers share a bucket.
-3. The first round pairs each member with its bucket's smallest. Pairs are confirmed on
-   the full sets; confirmed links give components.
-4. The second round looks into buckets that still hold several components. There all
-   pairs of different components get a joint likelihood estimate from their sketches,
-   in blocks of a bounded number of members; what isn't hopeless is confirmed. Pairs
-   within a component can't change the result; all others are tested.
+1. Texts with equal sets (128-bit digest of the sorted shingles) form a class, a node.
+2. Nodes that agree on a band of four registers share a bucket.
+3. The first round pairs each member with its bucket's smallest node. Pairs whose sizes
+   can't be similar enough are left out, the others confirmed on the full sets; confirmed
+   links give components.
+4. The second round looks into buckets that still hold several components. A bucket's
+   members are dealt into lots by size (a ratio of 4/3 a bin, so that a partner is in the
+   same or the next bin) and by whether they belong to the bucket's largest component,
+   whose members needn't meet each other. Lots of up to 512 members meet in pairs of lots,
+   each a row group of its own. There pairs of different components get a joint likelihood
+   estimate from their sketches; what isn't hopeless is confirmed. Pairs within a
+   component can't change the result; all others that could link are tested.
+
+Full sets are confirmed from texts: compressed, they take half the room of hashed sets.
 """
 
 from __future__ import annotations
@@ -25,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import SPACE_WORD, discard, free_name, materialise, text_id, written
 from .components import connected_components
 from .textscan import SPACE, Scan, chunks, fold, mix, runs_start
 
@@ -36,9 +42,9 @@ REGISTERS, ROWS, BANDS = 384, 4, 48
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SHINGLE = 5
 #: A pair whose estimate is below the threshold by more than this many standard
-#: errors isn't confirmed; the chance to lose a true pair is below 4e-6.
-ERRORS = 4.5
-#: Members of an open bucket that are compared at once.
+#: errors isn't confirmed; the chance to lose a true pair is below 1e-8.
+ERRORS = 6.0
+#: Members of a lot of an open bucket.
 BLOCK = 512
 
 
@@ -140,7 +146,7 @@ def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = shingle_sets(part["text"].tolist())
             registers = sketches(sets)
             yield pd.DataFrame({
-                "doc_id": part["doc_id"],
+                **{c: part[c] for c in part.columns if c != "text"},
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "sketch": [r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)],
@@ -155,21 +161,22 @@ def _band_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _crossing(threshold: float):
-    """Hopeful pairs of different components in (parts of) buckets; rows come sorted by
-    bucket part. A pair that shares several bands is told by the first of them alone."""
-    floor = threshold - ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    """Hopeful pairs of different components in pairs of lots; rows come sorted by bucket
+    and lots. A pair that shares several bands is told by the first of them alone."""
+    floor, parts = threshold - ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5, round(threshold * 100)
 
     def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         registers = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), REGISTERS)
-        band, low, high, part, node, home = (rows[c].to_numpy(np.int64) for c in ("band", "low", "high", "part", "node", "component"))
-        size, own = rows["n_shingles"].to_numpy(float), bands(registers)
+        band, low, high, lot_of, node, home, size = (rows[c].to_numpy(np.int64) for c in ("band", "low", "high", "lot", "node", "component", "n_shingles"))
+        own = bands(registers)
         starts = np.flatnonzero(np.concatenate(([True], (np.diff(band) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0))))
         ends = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
         partners = ends - np.arange(len(rows)) - 1
         for lot in np.split(np.arange(len(rows)), np.searchsorted(np.cumsum(partners), np.arange(50_000, partners.sum() + 1, 50_000))):
             i = np.repeat(lot, partners[lot])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners[lot]) - partners[lot], partners[lot])
-            ok = (home[i] != home[j]) & ((low[i] == high[i]) | (part[i] != part[j]))
+            ok = (home[i] != home[j]) & ((low[i] == high[i]) | (lot_of[i] != lot_of[j]))
+            ok &= 100 * np.minimum(size[i], size[j]) >= parts * np.maximum(size[i], size[j])
             i, j = i[ok], j[ok]
             told = own[i, (own[i] == own[j]).argmax(axis=1)] == band[i]
             i, j = i[told], j[told]
@@ -177,7 +184,7 @@ def _crossing(threshold: float):
             near = np.count_nonzero(registers[i] == registers[j], axis=1) >= (floor - 0.02) * REGISTERS
             i, j = i[near], j[near]
             if len(i):
-                fits = estimate(registers[i], registers[j], size[i], size[j]) >= floor
+                fits = estimate(registers[i], registers[j], size[i].astype(float), size[j].astype(float)) >= floor
                 yield pd.DataFrame({"a": np.minimum(node[i], node[j])[fits], "b": np.maximum(node[i], node[j])[fits]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,17 +221,21 @@ def _confirmed(threshold: float):
 
 
 class NearDuplicates:
-    """Near-duplicate classes of ``docs`` (columns doc_id, text; others are ignored)."""
+    """Near-duplicate classes of ``docs`` (columns doc_id, text; others are ignored, but
+    for those named in ``carry``, text columns that ``placed`` gives again)."""
 
-    def __init__(self, docs: DataFrame, threshold: float = 0.75):
+    def __init__(self, docs: DataFrame, threshold: float = 0.75, carry: tuple[str, ...] = ()):
         if threshold < 0.75:
             raise ValueError("bands and error bounds hold for a similarity of 0.75 or more")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.threshold = threshold
+        text = F.col("text").cast("string")
+        # Rows of one id and text have one key, by which a node's text is found again.
+        key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text.cast("binary")))
+        self.docs = docs.select(text_id("doc_id"), key.alias("row_key"), *(F.col(f"`{c}`") for c in carry), text.alias("text"))
+        self.threshold, self.carry = threshold, carry
 
     def _verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-        text = lambda x: texts.select(F.col("doc_id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
+        text = lambda x: texts.select(F.col("node").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
         return (
             pairs.join(text("a"), F.col("a") == F.col("id_a"))
             .join(text("b"), F.col("b") == F.col("id_b"))
@@ -233,52 +244,116 @@ class NearDuplicates:
             .distinct()
         )
 
-    def _blocks(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Rows (band, low, high, part, node, component, sketch, n_shingles): each pair
-        of parts of an open bucket, so that a large bucket is spread over many tasks."""
-        counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        placed = members.join(counts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        dealt = placed.withColumn("other", other).select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component")
+    def _alike(self, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose sizes allow a similarity of the threshold."""
+        side = lambda x: sizes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(self.threshold * 100)).select("a", "b")
+
+    def _lots(self, open_: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Rows (band, low, high, lot, node, component, n_shingles, sketch): each member of
+        an open bucket in every pair of lots where it may have a partner. A lot is told by
+        size bin, whether its members are of the bucket's largest component, and number."""
+        sizes = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+        bin_ = F.floor(F.log("n_shingles") / F.log(F.lit(1 / self.threshold)) + F.lit(1e-9)).cast("int")
+        placed = open_.join(main, "band").withColumn("kind", bin_ * 2 + (F.col("component") == F.col("main")).cast("int"))
+        counts = placed.groupBy("band", "kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
+        known = counts.groupBy("band").agg(F.collect_list(F.struct("kind", "lots")).alias("known"))  # two kinds a size bin: a few dozen
+        placed = placed.join(known, "band")
+
+        def partners(k: Column) -> Column:
+            near = F.abs(F.floor(k["kind"] / 2) - F.floor(F.col("kind") / 2)) <= 1
+            return near & ((k["kind"] % 2 == 0) | (F.col("kind") % 2 == 0))
+
+        code = lambda kind, number: kind.cast("long") * F.lit(1 << 40) + number
+        many = F.filter("known", lambda k: k["kind"] == F.col("kind"))[0]["lots"]
+        own = code(F.col("kind"), F.pmod(F.xxhash64("node"), many))
+        others = F.flatten(F.transform(F.filter("known", partners), lambda k: F.transform(F.sequence(F.lit(0), k["lots"] - 1), lambda n: code(k["kind"], n))))
+        dealt = placed.select("band", "node", "component", own.alias("lot"), F.explode(others).alias("other"))
+        dealt = dealt.select("band", F.least("lot", "other").alias("low"), F.greatest("lot", "other").alias("high"), "lot", "node", "component")
         return dealt.join(nodes.select("node", "sketch", "n_shingles"), "node")
 
-    def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id and kept of every row.
+    def placed(self, unnamed: bool) -> tuple[DataFrame, DataFrame]:
+        """Two tables: the rows that have shingles (doc_id, ``carry``, n_shingles, node,
+        component), and those that haven't (doc_id, ``carry``, n_shingles).
 
-        A null or wordless text has no shingles and links with nothing. A row without
-        doc_id can't be named: it links with nothing, has no component_id and is
-        kept. Rows that repeat a doc_id are one document with several texts: all its
-        rows share a component. No input rows, no output rows.
+        A component is the smallest node of linked texts. Without ``unnamed``, rows that
+        lack a doc_id are of the second table, and texts of one doc_id are linked.
         """
-        schema = "doc_id long, n_shingles long, set_key binary, sketch binary"
-        sketched = materialise(self.docs.mapInPandas(_sketch_batches, schema), "sketches")
-        real = sketched.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-        named = real.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-        nodes = materialise(named, "nodes")
-        # Several texts under one id: they are joined by that id.
-        several = real.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y"), F.count("*").alias("n")).where("n > 1 AND x <> y").select("doc_id")
-        same_id = real.join(several, "doc_id").select("doc_id", "set_key").join(nodes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        kept = ", ".join(f"`{c}` string" for c in ("doc_id", "row_key", *self.carry))
+        read = self.docs.mapInPandas(_sketch_batches, f"{kept}, n_shingles long, set_key binary, sketch binary")
+        sketched = materialise(read.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+        since = written()
+        usable = F.col("set_key").isNotNull() if unnamed else F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
+        real = sketched.where(usable)
+        named = real.groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key"))
+        # The number is fixed once the table is written.
+        nodes = materialise(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        keys = nodes.select("set_key", "node")
 
         banded = nodes.select("node", "sketch").mapInPandas(_band_batches, "node long, bands array<long>").select("node", F.explode("bands").alias("band"))
         firsts = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("band", "first")
         members = materialise(banded.join(firsts, "band"), "members")
+        sizes = nodes.select("node", "n_shingles")
+        tried = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+        tried = materialise(self._alike(tried, sizes), "tried")
         # At scale this is a shuffle of all texts; it is asked for at every size.
-        wanted = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-        texts = materialise(self.docs.join(wanted, "doc_id"), "texts")
-        tried = materialise(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-        links = materialise(self._verify(tried, texts).union(same_id), "links")
+        wanted = members.select("node").distinct().join(nodes.select("node", "row_key"), "node").hint("merge")
+        once = self.docs.groupBy("row_key").agg(F.first("text").alias("text"))
+        texts = materialise(once.join(wanted, "row_key").select("node", "text"), "texts")
+        links = self._verify(tried, texts)
+        links = materialise(links if unnamed else links.union(_same_id(real, keys)), "links")
         labels = materialise(connected_components(links), "labels")
-
         placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
         open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-        placed = materialise(placed.join(open_, "band"), "open")
-        dealt = self._blocks(placed, nodes).repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+        open_ = materialise(placed.join(open_, "band").join(sizes, "node"), "open")
+        dealt = self._lots(open_, nodes).repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
         crossing = dealt.mapInPandas(_crossing(self.threshold), "a long, b long")
         more = materialise(self._verify(crossing.distinct().join(tried, ["a", "b"], "left_anti"), texts), "more")
         if not more.isEmpty():
-            labels = materialise(connected_components(links.union(more)), "labels")
+            labels = connected_components(links.union(more))
+        homes = materialise(keys.join(labels, "node", "left").select("set_key", "node", F.coalesce("component", "node").alias("component")), "homes")
+        discard(sketched.sparkSession, since, keep=1)
+        columns = ["doc_id", *(f"`{c}`" for c in self.carry), "n_shingles"]
+        return real.join(homes, "set_key").select(*columns, "node", "component"), sketched.where(~usable).select(*columns)
 
-        homes = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-        placed_rows = real.select("doc_id", "n_shingles", "set_key").join(homes, "set_key").select("doc_id", "n_shingles", "component_id")
-        alone = sketched.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return placed_rows.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    def classes(self) -> DataFrame:
+        """doc_id, n_shingles, component_id and kept of every row.
+
+        A null or wordless text has no shingles and links with nothing. A row without
+        doc_id can't be named: it links with nothing, has no component_id and is
+        kept. Rows that repeat a doc_id are one document with several texts: all its
+        rows share a component. No input rows, no output rows.
+        """
+        placed, alone = self.placed(unnamed=False)
+        least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = placed.join(least, "component").select("doc_id", "n_shingles", "component_id")
+        alone = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return named.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _same_id(real: DataFrame, keys: DataFrame) -> DataFrame:
+    """Links between the texts of one doc_id."""
+    several = real.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id", "x")
+    pairs = real.join(several, "doc_id").where("set_key <> x").select("x", "set_key").distinct()
+    one, two = keys.select(F.col("set_key").alias("x"), F.col("node").alias("a")), keys.select("set_key", F.col("node").alias("b"))
+    return pairs.join(one, "x").join(two, "set_key").select("a", "b")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicate texts, with the columns of ``docs``: that
+    of the smallest doc_id (a null one is larger than any), then of the smallest digest of
+    the whole row. Texts are grouped by likeness alone, so that unlike texts of one doc_id,
+    or without doc_id, all stay, as do rows without words, even if they repeat."""
+    row = free_name(docs, "row")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    marked = docs.select(*columns, F.md5(F.to_json(F.struct(*columns))).alias(row))
+    placed, _ = NearDuplicates(marked, carry=(row,)).placed(unnamed=True)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row)))[row]
+    kept = placed.groupBy("component").agg(first.alias(row)).select(row).hint("merge")
+    worded = F.coalesce(F.rlike(F.col("text").cast("string"), F.lit(SPACE_WORD)), F.lit(False))
+    # Rows that are equal throughout are made one before rows are matched by digest, in the
+    # same partitioning.
+    once = marked.where(worded).dropDuplicates([row]).join(kept, row, "left_semi")
+    return once.drop(row).union(docs.where(~worded))

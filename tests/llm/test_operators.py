@@ -125,8 +125,11 @@ def test_components(spark):
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("block", [10**6, 3])
-def test_decontamination(spark, awkward, block):
+@pytest.mark.parametrize("bits", [27, 4])
+def test_decontamination(spark, awkward, bits, monkeypatch):
+    """Also with a sieve so small that it lets nearly everything through to the join."""
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
     items = [(1, " ".join(prose(4, 44).split()[5:30])), (2, "x" * 200_000), (3, None), (4, ""), (None, prose(4, 44)), (5, "ONE, two!"), (6, "one-two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = [(str(i), w[k : k + 10]) for i, t in items if i is not None for w in [ALNUM.findall(low(t))] if w for k in range(max(1, len(w) - 9))]
@@ -139,9 +142,9 @@ def test_decontamination(spark, awkward, block):
                     hit |= set(range(k, k + len(win)))
                     found.add(item)
         want[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
-    got = decontaminate.summary(awkward, bench, block)
+    got = decontaminate.summary(awkward, bench)
     assert Counter(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())) == want
-    clean = decontaminate.drop_leaks(awkward, bench, block)
+    clean = decontaminate.drop_leaks(awkward, bench)
     assert clean.columns == awkward.columns and clean.count() == sum(n for k, n in want.items() if not k[5])
 
 
@@ -216,7 +219,9 @@ def test_warc(spark):
     long_, other = "<p>é</p>" * 50, "<b>" * 60
     rows = [(5, "u", long_), (3, "u", long_), (9, None, long_), (3, "u", long_), (None, "u", long_), (7, "u", "short"), (8, "u", "short"), (10, "u", None), (11, "u", ""), (12, "v", other)]
     archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    got = Counter(tuple(r) for r in warc.read_archives(archives).collect())
+    read = warc.read_archives(archives)
+    got = Counter(tuple(r) for r in read.drop("record_id").collect())
+    assert read.select("record_id").distinct().count() == len(rows)
     want = Counter()
     for p, _, h in rows:
         b = (h or "").encode()
