@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import decontaminate, packing, quality, setsketch, toxicity
-from lodestore.llm.common import free_name, materialise, table
+from lodestore.llm.common import discard, free_name, materialise, table, written
 
 #: Documents with a lower score for quality, or a score of at least this for toxicity, go.
 LEAST_QUALITY, TOXIC = 0.3, 0.3
@@ -32,12 +32,8 @@ def keep_nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that repeat a
-    doc_id one. Rows without doc_id stay."""
-    classes = setsketch.NearDuplicates(docs).classes()
-    kept = classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """One document of each group of near-duplicate texts (``setsketch.one_of_each``)."""
+    return setsketch.one_of_each(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(spark, since, keep=1)  # what the stage wrote on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
