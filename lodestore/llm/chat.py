@@ -80,7 +80,7 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     convs = conversations(turns)
     at = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"] == "assistant"), F.lit(True)) + 1
     answered = convs.where(F.exists("turns", lambda t: t["role"] == "assistant")).withColumn("at", at.cast("int"))
-    answers = answered.select((F.col("conv_id") - 1).alias("before"), F.element_at("turns", F.col("at")).alias("other"))
+    answers = answered.select(F.try_subtract("conv_id", F.lit(1)).alias("before"), F.element_at("turns", F.col("at")).alias("other"))
     joined = answered.join(answers, F.col("conv_id") == F.col("before"), "left")
     swapped = F.concat(F.slice("turns", 1, F.col("at") - 1), F.when(F.col("other").isNull(), F.array().cast(TURNS)).otherwise(F.array("other").cast(TURNS)))
     return joined.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), swapped.alias("rejected"))

@@ -1,26 +1,30 @@
 """Language-model scores from an Elias-Fano n-gram trie, sharded over Spark (operator 3).
 
-The model is a bigram model that backs off to add-one unigrams:
-
-    seen pair     P(w | h) = (1 - k(h)) * (c(h, w) - CUT) / c(h)
-    unseen pair   P(w | h) = k(h) * (c(w) + 1) / (N + V + 1)
-    k(h) = min(CAP, CAP * c(h) ** -FALL), and 1 where c(h) = 0
-
-c counts training tokens; a document starts in the context of its end token. The sum
-over w of P(w | h) is at most 1. A document's log probability splits into terms that
-depend on one word count or one pair count alone, so neither vocabulary nor pairs are
-ever held in one place:
-
-1. map     blocks of documents send word blocks to word shards and pair blocks to pair
-           shards: distinct keys with their documents, aggregated per block;
-2. shards  a pair shard builds its trie (contexts and pointers to successors, coded as
-           Elias-Fano sequences, with 8-bit quantised log numerators, in one mapped
-           file), and looks up all pairs of all blocks; unseen pairs go on to the shards
-           of their two words. A word shard sums its words' counts;
-3. words   unseen pairs get the counts of their words;
-4. blocks  partial sums meet at their block of documents.
-
-Everything sent is at most in proportion to the tokens of the input.
+A trigram model that backs off to bigrams and then to add-one unigrams:
+
+    P(w | u, v) = (1 - k(c(u, v))) * (c(u, v, w) - CUT) / c(u, v)   where (u, v, w) was seen,
+                  k(c(u, v)) * P(w | v)                             else
+    P(w | v)    = (1 - k(c(v))) * (c(v, w) - CUT) / c(v)            where (v, w) was seen,
+                  k(c(v)) * (c(w) + 1) / (N + V + 1)                else
+    k(c)        = min(CAP, CAP * c ** -FALL), and 1 where c = 0
+
+c counts training tokens; a document is preceded by two start marks. The sum over w of
+P(w | u, v) is at most 1. Neither vocabulary nor n-grams are ever held in one place:
+
+1. blocks  documents form blocks of about ``BLOCK_WORDS`` words. A block sends each of its
+           distinct words and n-grams once, with its count in the block, to the shard of
+           the word or of the n-gram's first two words; so a word that is everywhere is
+           sent once a block, and no shard depends on how frequent any key is;
+2. shards  a shard adds up the counts and lays its n-grams out as a trie in one mapped
+           file: first words, second words below them with quantised counts, third words
+           below those with quantised log probabilities. Levels and the pointers between
+           them are monotone and Elias-Fano coded, and searched as they are, within the
+           range that the context's pointers give. Each block gets the codes of its keys;
+3. blocks  a block's tokens meet the codes of its keys, and give its documents' scores.
+
+In the trie words are told by 32 bits of their hash. So n-grams are confused only if they
+share a shard and agree in 32 bits wherever their words differ: of m words that follow one
+context, about m * m / 2**33 pairs. Word counts are by the whole 64 bits.
 """
 
 from __future__ import annotations
@@ -36,15 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import materialise
+from .common import materialise, text_id
 from .labels import held_out
 from .textscan import SPACE, Scan, mix, word_hash
 
 CUT, CAP, FALL = 0.35, 0.9, 0.14
 FOLDS, HELD = 7, 2
-BLOCK_WORDS, BLOCK_DOCS, DOCS_PER_SHARD, LEAST_SHARDS = 500_000, 60_000, 10_000, 24
-END = np.uint64(word_hash("end of text") ^ 0x5DEECE66D)
-_ROW = "slot int, kind string, block long, data binary"
+BLOCK_WORDS, BLOCK_DOCS, WORDS_PER_SHARD, LEAST_SHARDS = 500_000, 60_000, 2_000_000, 24
+END, START = (np.uint64(word_hash("end of text") ^ k) for k in (0x5DEECE66D, 0x2545F4914F6CDD1D))
+_ROW = "slot int, block long, kind string, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -77,169 +81,270 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+_SAMPLE, _ALL = 64, np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Place of the r-th set bit of a byte.
+_PLACES = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _set = [k for k in range(8) if _byte >> k & 1]
+    _PLACES[_byte, : len(_set)] = _set
+
+
+def _words64(bits: np.ndarray) -> np.ndarray:
+    """Bits as 64-bit words, with a word to spare."""
+    data = np.packbits(bits, bitorder="little")
+    return np.concatenate((data, np.zeros(16 - len(data) % 8, np.uint8))).view(np.uint64)
+
+
+def _select(words: np.ndarray, samples: np.ndarray, which: np.ndarray, flip: np.uint64) -> np.ndarray:
+    """Positions of set bits by their numbers (of clear bits with ``flip`` all ones);
+    ``samples`` has the position of each 64th."""
+    at = samples[which // _SAMPLE].astype(np.int64)
+    left, first = which % _SAMPLE, (at & 63).astype(np.uint64)
+    at >>= 6
+    word = (words[at] ^ flip) & (_ALL << first)
+    count = np.bitwise_count(word).astype(np.int64)
+    more = np.flatnonzero(left >= count)
+    while len(more):
+        left[more] -= count[more]
+        at[more] += 1
+        word[more] = words[at[more]] ^ flip
+        count[more] = np.bitwise_count(word[more])
+        more = more[left[more] >= count[more]]
+    at <<= 6
+    for width in (32, 16, 8):
+        low = word & np.uint64((1 << width) - 1)
+        count = np.bitwise_count(low).astype(np.int64)
+        up = left >= count
+        word = np.where(up, word >> np.uint64(width), low)
+        left -= np.where(up, count, 0)
+        at += np.where(up, width, 0)
+    return at + _PLACES[(word & np.uint64(255)).astype(np.int64), left]
+
+
 class EliasFano:
-    """A non-decreasing sequence of integers below ``universe``: each value's low bits
-    packed, its high part as a unary bit vector."""
+    """A non-decreasing sequence of integers below ``universe``, coded: each value's low
+    bits packed, its high part as a unary bit vector with sampled positions."""
 
-    def __init__(self, count: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.count, self.low_bits, self.low, self.high = count, low_bits, low, high
+    def __init__(self, count: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.count, self.low_bits = count, low_bits
+        self.low, self.high, self.ones, self.zeros = self.arrays = (low, high, ones, zeros)
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
-        n = len(values)
+        values, n = values.astype(np.uint64), len(values)
         bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
-        values = values.astype(np.uint64)
         spread = np.unpackbits(values.view(np.uint8).reshape(n, 8), axis=1, count=bits, bitorder="little") if bits else np.zeros((n, 0), np.uint8)
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
+        unary = np.zeros(n + (int(universe) >> bits) + 1, np.uint8)
         unary[ones] = 1
-        return cls(n, bits, np.packbits(spread.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"))
+        samples = [x[::_SAMPLE].astype(np.uint64) for x in (ones, np.flatnonzero(unary == 0))]
+        return cls(n, bits, _words64(spread.ravel()), _words64(unary), *samples)
 
-    def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        high = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)
+    def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
-            return high
-        spread = np.zeros((self.count, 64), np.uint8)
-        spread[:, : self.low_bits] = np.unpackbits(self.low, bitorder="little", count=self.count * self.low_bits).reshape(self.count, self.low_bits)
-        return high | np.packbits(spread, axis=1, bitorder="little").view(np.uint64).ravel()
+            return np.zeros(len(at), np.uint64)
+        bit = at * self.low_bits
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        two = (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return ((self.low[word] >> shift) | two) & np.uint64((1 << self.low_bits) - 1)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """Values by their places."""
+        high = _select(self.high, self.ones, at, np.uint64(0)) - at
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+
+    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each value within its range of places, -1 where it isn't there. The
+        high part leads to the places that share it, their low parts are bisected."""
+        high, sought = (values >> np.uint64(self.low_bits)).astype(np.int64), values & np.uint64((1 << self.low_bits) - 1)
+        before = np.where(high > 0, _select(self.high, self.zeros, np.maximum(high - 1, 0), _ALL) - (high - 1), 0)
+        low = np.maximum(begin, before)
+        top = np.minimum(end, _select(self.high, self.zeros, high, _ALL) - high)
+        stop = np.maximum(top, low)
+        todo = np.flatnonzero(low < stop)
+        while len(todo):
+            middle = (low[todo] + stop[todo]) >> 1
+            less = self._low(middle) < sought[todo]
+            low[todo] = np.where(less, middle + 1, low[todo])
+            stop[todo] = np.where(less, stop[todo], middle)
+            todo = todo[low[todo] < stop[todo]]
+        there = np.flatnonzero(low < top)
+        out = np.full(len(values), -1, np.int64)
+        same = there[self._low(low[there]) == sought[there]]
+        out[same] = low[same]
+        return out
 
 
-class Trie:
-    """Contexts -> successors, with quantised log10 numerators of the seen pairs.
+def count_levels() -> np.ndarray:
+    """What the codes of counts stand for: 0 to 32 exactly, then in steps of 8 % up to
+    some 10**9, each code for the counts that are nearer to no smaller one."""
+    levels = list(range(33))
+    while len(levels) < 256:
+        levels.append(max(levels[-1] + 1, round(levels[-1] * 1.082)))
+    return np.array(levels, np.float64)
 
-    Keys are 64-bit: 32 bits of the context and 32 of its successor. Level 1 has the
-    contexts and, as a monotone pointer sequence, where their successors begin. Level 2
-    has the successors; each is raised by its context's rank times 2**32, so the whole
-    level is monotone and a search is relative to the context.
-    """
 
-    LEVELS = 255
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        context, start = np.unique(keys >> np.uint64(32), return_index=True)
-        rank = np.repeat(np.arange(len(context), dtype=np.uint64), np.diff([*start, len(keys)]).astype(np.int64))
-        level2 = (rank << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-        value = np.log10(counts - CUT)
-        self.least, top = (float(value.min()), float(value.max())) if len(keys) else (0.0, 0.0)
-        self.step = (top - self.least) / self.LEVELS or 1.0
-        codes = np.round((value - self.least) / self.step).astype(np.uint8)
-        levels = [EliasFano.encode(context, 1 << 32), EliasFano.encode(start, len(keys) + 1), EliasFano.encode(level2, max(1, len(context)) << 32)]
-        self._map([x for e in levels for x in (e.low, e.high)] + [codes], [(e.count, e.low_bits) for e in levels])
-
-    def _map(self, arrays: list[np.ndarray], shapes: list[tuple[int, int]]) -> None:
-        """Lay the levels out in one unlinked temporary file and map it."""
-        self.sizes, self.shapes = [a.nbytes for a in arrays], shapes
-        with tempfile.TemporaryFile() as file:
-            for a in arrays:
-                file.write(a.tobytes())
-            file.write(b"\0")
-            file.flush()
-            self.mapped = np.memmap(file, np.uint8, "r")
+COUNTS = count_levels()
 
-    def _part(self, k: int) -> np.ndarray:
-        at = sum(self.sizes[:k])
-        return self.mapped[at : at + self.sizes[k]]
 
-    def _level(self, k: int) -> np.ndarray:
-        return EliasFano(*self.shapes[k], self._part(2 * k), self._part(2 * k + 1)).decode()
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """log10 numerators of sorted or unsorted keys; NaN for unseen pairs."""
-        contexts, begins, successors = self._level(0), self._level(1).astype(np.int64), self._level(2)
-        out = np.full(len(keys), np.nan)
-        if not len(successors):
-            return out
-        rank = np.minimum(np.searchsorted(contexts, keys >> np.uint64(32)), len(contexts) - 1)
-        known = contexts[rank] == keys >> np.uint64(32)
-        wanted = (rank.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-        at = np.minimum(np.searchsorted(successors, wanted), len(successors) - 1)
-        ends = np.append(begins[1:], len(successors))
-        hit = known & (at >= begins[rank]) & (at < ends[rank]) & (successors[at] == wanted)
-        out[hit] = self.least + self.step * self._part(6)[at[hit]]
-        return out
+def count_codes(counts: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(COUNTS, counts, "right") - 1).astype(np.uint8)
 
 
 def backoff(count: np.ndarray) -> np.ndarray:
-    """k(h) for context counts."""
+    """k of context counts."""
     return np.where(count > 0, CAP * np.maximum(count, 1) ** -FALL, 1.0)
 
 
-def _seen_weight(count: np.ndarray) -> np.ndarray:
-    return np.where(count > 0, np.log10(1 - np.where(count > 0, backoff(count), 0)) - np.log10(np.maximum(count, 1)), 0.0)
+def seen_weight(count: np.ndarray) -> np.ndarray:
+    """log10 of what a seen successor's discounted count is multiplied with."""
+    return np.log10(1 - np.where(count > 0, backoff(count), 0)) - np.log10(np.maximum(count, 1))
 
 
-def _grouped(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, pairs per key, and of each (key, document) pair the document and
-    how often it occurs."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new_key = np.ones(len(keys), bool)
-    new_key[1:] = keys[1:] != keys[:-1]
-    new = new_key.copy()
-    new[1:] |= docs[1:] != docs[:-1]
-    at = np.flatnonzero(new)
-    times = np.diff([*at, len(keys)])
-    per_key = np.diff([*np.flatnonzero(new_key[at]), len(at)])
-    return keys[new_key], per_key, docs[at], times
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-def _word_shard(top: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a word, from the top 40 bits of its hash."""
-    return (mix(top + np.uint64(77)) % np.uint64(shards)).astype(np.int32)
+class Trie:
+    """Three levels of words, in one mapped file. ``pairs`` are sorted distinct keys of 32
+    bits of the first and of the second word, with counts; the third words come per pair:
+    ``home`` (place of the pair, ascending) and ``thirds`` (ascending within a pair)."""
+
+    CODES = 255
+
+    def __init__(self, pairs: np.ndarray, pair_counts: np.ndarray, home: np.ndarray, thirds: np.ndarray, counts: np.ndarray):
+        first, start = np.unique(pairs >> np.uint64(32), return_index=True)
+        above = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff([*start, len(pairs)]).astype(np.int64))
+        begins = np.searchsorted(home, np.arange(len(pairs) + 1))
+        value = np.log10(counts - CUT) + seen_weight(pair_counts[home])
+        self.least, top = (float(value.min()), float(value.max())) if len(value) else (0.0, 0.0)
+        self.step = (top - self.least) / (self.CODES - 1) or 1.0
+        codes = np.round((value - self.least) / self.step).astype(np.uint8) + np.uint8(1)
+        levels = [
+            EliasFano.encode(first, 1 << 32), EliasFano.encode(np.append(start, len(pairs)), len(pairs) + 1),
+            EliasFano.encode((above << np.uint64(32)) | (pairs & _LOW), max(1, len(first)) << 32), EliasFano.encode(begins, len(home) + 1),
+            EliasFano.encode((home.astype(np.uint64) << np.uint64(32)) | thirds.astype(np.uint64), max(1, len(pairs)) << 32),
+        ]
+        self._map(levels, [count_codes(pair_counts), codes])
+
+    def _map(self, levels: list[EliasFano], codes: list[np.ndarray]) -> None:
+        """Lay all out in one unlinked temporary file, map it, and use the mapped parts."""
+        parts = [np.ascontiguousarray(a) for level in levels for a in level.arrays] + codes
+        with tempfile.TemporaryFile() as file:
+            for a in parts:
+                file.write(a.tobytes() + bytes(-a.nbytes % 8))
+            file.write(bytes(8))
+            file.flush()
+            whole = np.memmap(file, np.uint8, "r")
+        at, mapped = 0, []
+        for a in parts:
+            mapped.append(whole[at : at + a.nbytes].view(a.dtype).view(np.ndarray))
+            at += a.nbytes + -a.nbytes % 8
+        self.first, self.to_second, self.second, self.to_third, self.third = (EliasFano(e.count, e.low_bits, *mapped[4 * k : 4 * k + 4]) for k, e in enumerate(levels))
+        self.pair_codes, self.codes = mapped[-2:]
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        """Places of pair keys, -1 for unseen ones."""
+        out = np.full(len(pairs), -1, np.int64)
+        if not self.second.count:
+            return out
+        begin, end = np.zeros(len(pairs), np.int64), np.full(len(pairs), self.first.count, np.int64)
+        rank = self.first.find(pairs >> np.uint64(32), begin, end)
+        known = np.flatnonzero(rank >= 0)
+        rank = rank[known]
+        begin, end = (self.to_second.get(rank + k).astype(np.int64) for k in (0, 1))
+        out[known] = self.second.find((rank.astype(np.uint64) << np.uint64(32)) | (pairs[known] & _LOW), begin, end)
+        return out
 
+    def successors(self, home: np.ndarray, thirds: np.ndarray) -> np.ndarray:
+        """Codes of third words below pairs by place; 0 for unseen ones."""
+        out = np.zeros(len(home), np.uint8)
+        known = np.flatnonzero(home >= 0)
+        if self.third.count and len(known):
+            rank = home[known]
+            begin, end = (self.to_third.get(rank + k).astype(np.int64) for k in (0, 1))
+            at = self.third.find((rank.astype(np.uint64) << np.uint64(32)) | thirds[known].astype(np.uint64), begin, end)
+            out[known[at >= 0]] = self.codes[at[at >= 0]]
+        return out
 
-def _split40(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The top 40 bits, as 32 and 8: enough to find a word in its shard."""
-    return (hashes >> np.uint64(32)).astype(np.uint32), ((hashes >> np.uint64(24)) & np.uint64(0xFF)).astype(np.uint8)
+    def value(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probabilities of codes that aren't 0."""
+        return self.least + self.step * (codes.astype(float) - 1)
+
+
+class Grams:
+    """The distinct n-grams of a block, in the order in which they are sent: by shard and
+    key. ``tokens`` are numbers in ``words`` (sorted hashes), ``sizes`` tokens a text."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, shards: int):
+        many, k = len(words), len(sizes)
+        line = np.full(len(tokens) + 2 * k, many, np.int64)  # start marks have the next number
+        ends = np.cumsum(sizes + 2)
+        inside = np.ones(len(line), bool)
+        inside[ends - sizes - 1] = inside[ends - sizes - 2] = False
+        line[inside] = tokens
+        paired, tripled = np.ones(len(line), bool), np.ones(len(line), bool)
+        paired[ends - 1] = tripled[ends - 1] = tripled[ends - 2] = False
+        self.doc_of_pair = np.repeat(np.arange(k), sizes + 1)
+        at = np.flatnonzero(paired)
+        pair, which = np.unique(line[at] * (many + 1) + line[at + 1], return_inverse=True)
+        of_line = np.zeros(len(line), np.int64)
+        of_line[at] = which
+        at = np.flatnonzero(tripled)
+        triple, third_of = np.unique(of_line[at] * (many + 1) + line[at + 2], return_inverse=True)
+        hashes = np.append(words, START)
+        u, v = hashes[pair // (many + 1)], hashes[pair % (many + 1)]
+        shard = (mix(u * np.uint64(31) + v) % np.uint64(shards)).astype(np.int32)
+        key = (u & ~_LOW) | (v >> np.uint64(32))
+        order = np.lexsort((key, shard))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.pairs, self.pair_shard, self.pair_of = key[order], shard[order], rank[which]
+        home, third = rank[triple // (many + 1)], (hashes[triple % (many + 1)] >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((third, home))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.home, self.thirds, self.third_of = home[order], third[order], rank[third_of]
+
+
+def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(words + np.uint64(77)) % np.uint64(shards)).astype(np.int32)
 
 
 class _Blocks:
-    """Splits a stream of documents into blocks and each block into shard rows."""
+    """Makes a block of documents into rows for shards and a row of its own."""
 
     def __init__(self, shards: int):
         self.shards, self.part, self.made = shards, TaskContext.get().partitionId(), 0
 
-    def rows(self, ids: list, held: np.ndarray, texts: list[str | None]) -> pd.DataFrame:
+    def rows(self, ids: list[str | None], held: np.ndarray, texts: list[str | None]) -> pd.DataFrame:
         block, self.made = (self.part << 32) | self.made, self.made + 1
         scan = Scan(texts, SPACE)
-        n = np.diff(scan.offsets)
-        words = np.empty(len(scan.hashes) + len(n), np.uint64)
-        ends = np.cumsum(n + 1) - 1
-        is_end = np.zeros(len(words), bool)
-        is_end[ends] = True
-        words[ends], words[~is_end] = END, scan.hashes
-        doc = np.repeat(np.arange(len(n)), n + 1)
-        before = np.empty_like(words)
-        before[1:], before[:1] = words[:-1], END  # a text starts after an end
+        sizes = np.diff(scan.offsets) + 1
+        hashes = np.empty(int(sizes.sum()), np.uint64)
+        is_end = np.zeros(len(hashes), bool)
+        is_end[np.cumsum(sizes) - 1] = True
+        hashes[is_end], hashes[~is_end] = END, scan.hashes
         del scan
+        words, tokens = np.unique(hashes, return_inverse=True)
+        grams = Grams(words, tokens, sizes, self.shards)
+        learned = (~held).astype(float)
+        word_n = np.bincount(tokens, np.repeat(learned, sizes), len(words)).astype(np.uint32)
+        pair_n = np.bincount(grams.pair_of, learned[grams.doc_of_pair], len(grams.pairs)).astype(np.uint32)
+        third_n = np.bincount(grams.third_of, np.repeat(learned, sizes), len(grams.thirds)).astype(np.uint32)
+        word_shard, per = _word_shard(words, self.shards), np.bincount(grams.home, minlength=len(grams.pairs)).astype(np.uint32)
+        dealt = np.argsort(word_shard, kind="stable")
+        word_cuts, pair_cuts = (np.searchsorted(x, np.arange(self.shards + 1)) for x in (word_shard[dealt], grams.pair_shard))
+        third_cuts = np.searchsorted(grams.home, pair_cuts)
         out = []
-
-        def deal(kind: str, base: int, shard: np.ndarray, keys: np.ndarray, docs: np.ndarray, extra=None) -> None:
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-            for k in range(self.shards):
-                mine = order[cuts[k] : cuts[k + 1]]
-                if len(mine):
-                    if extra is None:
-                        key, per, d, times = _grouped(keys[mine], docs[mine])
-                        data = pack(held, key, per.astype(np.uint32), d.astype(np.uint16), times.astype(np.uint32))
-                    else:
-                        before, after = extra[0][mine], extra[1][mine]
-                        data = pack(docs[mine].astype(np.uint16), *_split40(before), *_split40(after))
-                    out.append((base + k, kind, block, data))
-
-        deal("word", 0, _word_shard(words >> np.uint64(24), self.shards), words, doc)
-        pair = (before & np.uint64(0xFFFFFFFF00000000)) | (words >> np.uint64(32))
-        shard = (mix(before * np.uint64(31) + words) % np.uint64(self.shards)).astype(np.int32)
-        learn = ~held[doc]
-        deal("pair", self.shards, shard[learn], pair[learn], doc[learn])
-        fresh = ~learn
-        deal("held", self.shards, shard[fresh], pair[fresh], doc[fresh], (before[fresh], words[fresh]))
-        known = np.array([i is not None for i in ids])
-        head = pack(held, (n + 1).astype(np.int64), known, np.array([i if i is not None else 0 for i in ids], np.int64))
-        out.append((2 * self.shards + block % 1_000_003, "head", block, head))
-        return pd.DataFrame(out, columns=["slot", "kind", "block", "data"])
+        for k in range(self.shards):
+            w, p, t = dealt[word_cuts[k] : word_cuts[k + 1]], slice(*pair_cuts[k : k + 2]), slice(*third_cuts[k : k + 2])
+            if len(w) or p.stop > p.start:
+                out.append((k, block, "keys", pack(words[w], word_n[w], grams.pairs[p], pair_n[p], per[p], grams.thirds[t], third_n[t])))
+        named = "\n".join(i or "" for i in ids).encode()
+        small = np.uint16 if len(words) < 1 << 16 else np.uint32
+        head = pack(words, tokens.astype(small), sizes.astype(np.uint32), held, np.frombuffer(named, np.uint8))
+        out.append((self.shards + block % 1_000_003, block, "head", head))
+        return pd.DataFrame(out, columns=["slot", "block", "kind", "data"])
 
 
 def _block_batches(shards: int):
@@ -248,7 +353,7 @@ def _block_batches(shards: int):
         ids, held, texts, size = [], [], [], 0
         for batch in batches:
             for i, h, t in zip(batch["doc_id"], batch["held"], batch["text"], strict=True):
-                ids.append(None if pd.isna(i) else int(i))
+                ids.append(i)
                 held.append(bool(h))
                 texts.append(t)
                 size += len(t or "") // 6 + 1
@@ -261,142 +366,103 @@ def _block_batches(shards: int):
     return run
 
 
-def _sums(block: int, docs: np.ndarray, **columns: np.ndarray) -> tuple:
-    """A row of partial sums per document of a block; columns in the order of _COLUMNS."""
-    touched, where = np.unique(docs, return_inverse=True)
-    values = [np.bincount(where, columns[c], len(touched)) if c in columns else np.empty(0) for c in _COLUMNS]
-    return -1, "sums", block, pack(touched.astype(np.uint16), *values)
-
-
-_COLUMNS = ("base", "known", "score", "unseen")
-
-
-def _starts(sizes: np.ndarray) -> np.ndarray:
-    return np.cumsum(sizes, dtype=np.int64) - sizes
-
-
-def _words_of(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """All words of a shard and their training counts."""
-    keys, counts = [], []
-    for _, data in rows:
-        held, key, per, docs, times = unpack(data)
-        learned = np.where(held[docs], 0, times).astype(np.float64)
-        keys.append(key)
-        counts.append(np.add.reduceat(learned, _starts(per)))
-    word, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return word, np.bincount(where, np.concatenate(counts), len(word))
-
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts, and where each key went."""
+    one, where = np.unique(keys, return_inverse=True)
+    return one, np.bincount(where, counts, len(one)), where
+
+
+def _shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """Codes of the keys of each block; a block's own row passes."""
+    if group["kind"].iloc[0] == "head":
+        return group[["block", "slot", "kind", "data"]]
+    group = group.sort_values("block", kind="stable")
+    sent = [unpack(d) for d in group["data"]]
+    words, word_n, pairs, pair_n, per, thirds, third_n = (np.concatenate(x) for x in zip(*sent, strict=True))
+    sizes = [[len(x[k]) for x in sent] for k in (0, 2, 5)]
+    del sent
+    word, word_n, word_of = _added(words, word_n)
+    pair, pair_n, pair_of = _added(pairs, pair_n)
+    home = np.repeat(pair_of, per)
+    order = np.lexsort((thirds, home))
+    home, thirds = home[order], thirds[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (home[1:] != home[:-1]) | (thirds[1:] != thirds[:-1])
+    third_of = np.empty_like(order)
+    third_of[order] = np.cumsum(new) - 1
+    home, thirds, third_n = home[new], thirds[new], np.bincount(third_of, third_n, int(new.sum()))
+    seen, kept = np.flatnonzero(pair_n), np.flatnonzero(third_n)
+    place = np.full(len(pair), -1, np.int64)
+    place[seen] = np.arange(len(seen))
+    trie = Trie(pair[seen], pair_n[seen], place[home[kept]], thirds[kept], third_n[kept])
+    place, pair_codes, third_codes = np.empty(len(pair), np.int64), np.zeros(len(pair), np.uint8), np.empty(len(home), np.uint8)
+    for lot in np.array_split(np.arange(len(pair)), len(pair) // 200_000 + 1):
+        place[lot] = trie.places(pair[lot])
+    pair_codes[place >= 0] = trie.pair_codes[place[place >= 0]]
+    for lot in np.array_split(np.arange(len(home)), len(home) // 200_000 + 1):
+        third_codes[lot] = trie.successors(place[home[lot]], thirds[lot])
+    scale = np.array([trie.least, trie.step])
+    answers = [np.split(x, np.cumsum(n)[:-1]) for x, n in zip((word_n.astype(np.int64)[word_of], pair_codes[pair_of], third_codes[third_of]), sizes, strict=True)]
+    out = [(block, int(key[0]), "codes", pack(scale, *x)) for block, *x in zip(group["block"], *answers, strict=True)]
+    out.append((-1, int(key[0]), "total", pack(np.array([word_n.sum(), np.count_nonzero(word_n)], np.int64))))
+    return pd.DataFrame(out, columns=["block", "slot", "kind", "data"]).astype({"slot": "int32"})
+
+
+def _finish(shards: int):
+    columns = ["kind", "doc_id", "held_out", "n_tokens", "known", "base", "score", "unseen"]
 
-def _shard(shards: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        slot, out = int(key[0]), []
-        by = {kind: list(zip(part["block"], part["data"], strict=True)) for kind, part in group.groupby("kind")}
-        if "head" in by:
-            out += [(-1, "head", b, d) for b, d in by["head"]]
-        if "word" in by:
-            word, count = _words_of(by["word"])
-            out.append((slot, "vocabulary", -1, pack(word, count.astype(np.int64))))
-            out.append((-1, "total", -1, pack(np.array([count.sum(), (count > 0).sum()]))))
-            base, weight = np.log10(count + 1), _seen_weight(count)
-            for block, data in by["word"]:
-                _, keys, per, docs, times = unpack(data)
-                at = np.repeat(np.searchsorted(word, keys), per)
-                out.append(_sums(block, docs, base=base[at] * times, known=(count[at] > 0) * times.astype(float), score=weight[at] * times))
-        if "pair" in by or "held" in by:
-            seen = [unpack(d)[1:] for _, d in by.get("pair", [])]
-            keys = np.concatenate([x[0] for x in seen] or [np.empty(0, np.uint64)])
-            each = [np.add.reduceat(x[3].astype(np.int64), _starts(x[1])) for x in seen]
-            pair, where = np.unique(keys, return_inverse=True)
-            trie = Trie(pair, np.bincount(where, np.concatenate(each), len(pair)) if len(pair) else np.empty(0))
-            values, cuts = trie.find(pair)[where], np.cumsum([0, *(len(x[0]) for x in seen)])
-            for k, ((block, _), (_, per, docs, times)) in enumerate(zip(by.get("pair", []), seen, strict=True)):
-                out.append(_sums(block, docs, score=np.repeat(values[cuts[k] : cuts[k + 1]], per) * times))
-            blocks, unseen = [], []
-            held = [(block, unpack(d)) for block, d in by.get("held", [])]
-            asked = [(x[1].astype(np.uint64) << np.uint64(32)) | x[3] for _, x in held]
-            answers = trie.find(np.concatenate(asked)) if asked else np.empty(0)
-            cuts = np.cumsum([0, *map(len, asked)])
-            for at, (block, (docs, h32, h8, w32, w8)) in enumerate(held):
-                value = answers[cuts[at] : cuts[at + 1]]
-                new = np.isnan(value)
-                out.append(_sums(block, docs, score=np.where(new, 0, value), unseen=new.astype(float)))
-                blocks.append(block)
-                for role, (top, low) in enumerate(((h32, h8), (w32, w8))):
-                    word = (top[new].astype(np.uint64) << np.uint64(8)) | low[new]
-                    unseen.append((word, docs[new], np.full(len(word), at, np.int32), np.full(len(word), role, np.uint8)))
-            if unseen:
-                w, d, at, role = (np.concatenate(x) for x in zip(*unseen, strict=True))
-                target = _word_shard(w, shards)
-                order = np.argsort(target, kind="stable")
-                cuts = np.searchsorted(target[order], np.arange(shards + 1))
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    mine = order[cuts[k] : cuts[k + 1]]
-                    out.append((k, "unseen", -1, pack(np.array(blocks, np.int64), w[mine], d[mine], at[mine], role[mine])))
-        return pd.DataFrame(out, columns=["slot", "kind", "block", "data"]).astype({"slot": "int32"})
+        if key[0] == -1:
+            totals = sum(unpack(d)[0] for d in group["data"])
+            return pd.DataFrame([("total", None, None, None, None, *map(float, totals), None)], columns=columns)
+        words, tokens, sizes, held, named = unpack(group["data"][group["kind"] == "head"].iloc[0])
+        tokens, sizes = tokens.astype(np.int64), sizes.astype(np.int64)
+        grams = Grams(words, tokens, sizes, shards)
+        answers = [unpack(d) for d in group[group["kind"] == "codes"].sort_values("slot")["data"]]
+        word_n = np.empty(len(words))
+        word_n[np.argsort(_word_shard(words, shards), kind="stable")] = np.concatenate([x[1] for x in answers])
+        pair_n = COUNTS[np.concatenate([x[2] for x in answers])][grams.pair_of]
+        codes = np.concatenate([x[3] for x in answers])
+        values = np.concatenate([scale[0] + scale[1] * (c.astype(float) - 1) for scale, _, _, c in answers])[grams.third_of]
+        seen = codes[grams.third_of] > 0
+        # Of the n + 1 pairs of a text, the first n are contexts and the last n its bigrams.
+        is_context, is_bigram = np.ones(len(pair_n), bool), np.ones(len(pair_n), bool)
+        is_context[np.cumsum(sizes + 1) - 1] = is_bigram[np.cumsum(sizes + 1) - sizes - 1] = False
+        context, bigram, count = pair_n[is_context], pair_n[is_bigram], word_n[tokens]
+        starts = np.cumsum(sizes) - sizes
+        before = np.empty(len(tokens))
+        before[1:] = count[:-1]
+        before[starts] = word_n[np.searchsorted(words, END)]  # as many texts start as end
+        unknown = bigram == 0
+        two = np.where(unknown, np.log10(backoff(before)) + np.log10(count + 1), np.log10(np.maximum(bigram, 1) - CUT) + seen_weight(before))
+        score = np.where(seen, values, np.log10(backoff(context)) + two)
+        per_text = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 1), score, (~seen & unknown).astype(float))]
+        ids = named.tobytes().decode().split("\n")
+        return pd.DataFrame({"kind": "text", "doc_id": [i or None for i in ids], "held_out": held, "n_tokens": sizes, **dict(zip(("known", "base", "score", "unseen"), per_text, strict=True))})[columns]
 
     return run
 
 
-def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Unseen pairs meet the counts of their words; other rows pass."""
-    out = []
-    passing = group["kind"].isin(["head", "sums", "total"])
-    for row in group[passing].itertuples(index=False):
-        out.append((row.kind, row.block, row.data))
-    vocabulary = [unpack(d) for d in group["data"][group["kind"] == "vocabulary"]]
-    if vocabulary:
-        word, count = vocabulary[0]
-        gains: dict[int, list] = {}
-        for data in group["data"][group["kind"] == "unseen"]:
-            blocks, words, docs, at, role = unpack(data)
-            c = count[np.searchsorted(word >> np.uint64(24), words)].astype(float)
-            gain = np.where(role == 1, np.log10(c + 1), np.log10(backoff(c)) - _seen_weight(c))
-            for k, block in enumerate(blocks.tolist()):
-                mine = at == k
-                gains.setdefault(block, []).append((docs[mine], gain[mine]))
-        for block, parts in sorted(gains.items()):
-            docs, gain = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(docs):
-                out.append(_sums(block, docs, score=gain)[1:])
-    return pd.DataFrame(out, columns=["kind", "block", "data"])
-
-
-def _finish(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    columns = ["kind", "doc_id", "held_out", "n_tokens", "known", "base", "score", "unseen"]
-    if key[0] == -1:
-        totals = [unpack(d)[0] for d in group["data"]]
-        return pd.DataFrame([("total", None, None, None, None, *map(float, sum(totals)), None)], columns=columns)
-    held, n, known, ids = next(unpack(d) for d in group["data"][group["kind"] == "head"])
-    sums = np.zeros((len(_COLUMNS), len(n)))
-    # In the order of their bytes, so that each run adds in the same order.
-    for data in sorted(group["data"][group["kind"] == "sums"]):
-        docs, *values = unpack(data)
-        for row, value in zip(sums, values, strict=True):
-            if len(value):
-                row[docs] += value
-    named = dict(zip(_COLUMNS, sums, strict=True))
-    return pd.DataFrame({
-        "kind": "text", "doc_id": pd.array(np.where(known, ids, 0), "Int64").copy() if known.all() else pd.array([int(i) if k else None for i, k in zip(ids, known, strict=True)], "Int64"),
-        "held_out": held, "n_tokens": n, "known": named["known"].round().astype(np.int64), "base": named["base"], "score": named["score"], "unseen": named["unseen"],
-    })[columns]
-
-
 def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every
     row. Null texts are empty: their only token is the end. A null doc_id isn't held
-    out. Rows repeat as they come, and count as often. No rows, no result."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(FOLDS, HELD).alias("held"), F.col("text").cast("string").alias("text"))
-    shards = shards or max(LEAST_SHARDS, -(-rows.count() // DOCS_PER_SHARD))
+    out. Rows repeat as they come, and count as often. No rows, no result. Columns besides
+    doc_id and text are ignored.
+
+    Blocks are told by partition and order, so ``docs`` must give its rows in the same
+    order again if a task is repeated, as stored tables do.
+    """
+    rows = docs.select(text_id("doc_id"), held_out(FOLDS, HELD).alias("held"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    shards = shards or max(LEAST_SHARDS, -(-(size["n"] + (size["chars"] or 0) // 6) // WORDS_PER_SHARD))
     dealt = rows.mapInPandas(_block_batches(shards), _ROW)
-    looked = dealt.groupBy("slot").applyInPandas(_shard(shards), _ROW)
-    spread = F.when(F.col("slot") >= 0, F.col("slot")).otherwise(F.lit(-1) - F.pmod(F.col("block"), F.lit(1_000_003)).cast("int"))
-    resolved = looked.withColumn("at", spread).groupBy("at").applyInPandas(_resolve, "kind string, block long, data binary")
-    final = "kind string, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, unseen double"
-    done = materialise(resolved.groupBy("block").applyInPandas(_finish, final), "lm")
+    looked = dealt.groupBy("slot").applyInPandas(_shard, "block long, slot int, kind string, data binary")
+    final = "kind string, doc_id string, held_out boolean, n_tokens long, known long, base double, score double, unseen double"
+    done = materialise(looked.groupBy("block").applyInPandas(_finish(shards), final), "lm")
     # base and score of the "total" row are N and V
     total = done.where("kind = 'total'").agg(F.coalesce(F.sum("base"), F.lit(0.0)).cast("long").alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).cast("long").alias("v")).first()
-    size = F.log10(F.lit(float(total["n"] + total["v"] + 1)))
+    scale = F.log10(F.lit(float(total["n"] + total["v"] + 1)))
     return done.where("kind = 'text'").select(
-        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * size).alias("base_score"), (F.col("score") - F.col("unseen") * size).alias("score"),
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), (F.col("score") - F.col("unseen") * scale).alias("score"),
     )

@@ -149,43 +149,70 @@ def test_decontamination(spark, awkward, bits, monkeypatch):
 
 
 def test_language_model(spark, awkward):
-    rows, learned = awkward_rows(), Counter()
+    rows, words, pairs, triples = awkward_rows(), Counter(), Counter(), Counter()
     tokens = [SPACE.findall(low(t)) + [None] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     for t, h in zip(tokens, held, strict=True):
         if not h:
-            learned.update(t)
-    pairs = Counter(p for t, h in zip(tokens, held, strict=True) if not h for p in zip([None, *t], t, strict=False))
-    n, v = sum(learned.values()), len(learned)
+            line = ["<>", "<>", *t]
+            words.update(t)
+            pairs.update(zip(line, line[1:], strict=False))
+            triples.update(zip(line, line[1:], line[2:], strict=False))
+    n, v = sum(words.values()), len(words)
+    words["<>"] = words[None]
+
+    def chance(a, b, c, shown=lambda x: x):
+        k = lambda x: min(lm.CAP, lm.CAP * x**-lm.FALL) if x else 1.0
+        uv, vw = pairs[a, b], shown(pairs[b, c])
+        if triples[a, b, c]:
+            return (1 - k(uv)) * (triples[a, b, c] - lm.CUT) / uv
+        two = (1 - k(words[b])) * (vw - lm.CUT) / words[b] if vw else k(words[b]) * (words[c] + 1) / (n + v + 1)
+        return k(shown(uv)) * two
 
     def score(t):
-        total = 0
-        for a, b in zip([None, *t], t, strict=False):
-            c = learned[a]
-            k = lm.CAP * c**-lm.FALL if c else 1.0
-            total += math.log10((1 - k) * (pairs[a, b] - lm.CUT) / c) if pairs[a, b] else math.log10(k * (learned[b] + 1) / (n + v + 1))
-        return total
+        line = ["<>", "<>", *t]
+        coded = lambda x: lm.COUNTS[lm.count_codes(np.array([x]))[0]]
+        return sum(math.log10(chance(*x, coded)) for x in zip(line, line[1:], line[2:], strict=False))
+
+    for context in (("<>", "<>"), tuple(tokens[0][:2]), (tokens[1][3], "never seen"), ("never", "seen")):
+        assert sum(chance(*context, w) for w in words if w != "<>") <= 1 + 1e-9
 
     def key(r):
         return str(r[0]), r[2], r[3]
 
     got = sorted((tuple(r) for r in lm.score_documents(awkward, shards=5).collect()), key=key)
-    want = sorted(((i, h, len(t), sum(learned[w] > 0 for w in t), n, sum(math.log10((learned[w] + 1) / (n + v + 1)) for w in t), score(t)) for (i, _), h, t in zip(rows, held, tokens, strict=True)), key=key)
+    want = sorted(((i, h, len(t), sum(words[w] > 0 for w in t), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), score(t)) for (i, _), h, t in zip(rows, held, tokens, strict=True)), key=key)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6], rel=5e-3)
 
 
-def test_trie():
+def test_elias_fano():
     rng = np.random.default_rng(3)
-    keys = np.unique(rng.integers(0, 50, 3000, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 200, 3000, dtype=np.uint64))
-    counts = rng.integers(1, 1000, len(keys))
-    trie = lm.Trie(keys, counts)
-    assert np.abs(trie.find(keys) - np.log10(counts - lm.CUT)).max() <= trie.step / 2 + 1e-9
-    others = np.setdiff1d(rng.integers(0, 60, 500, dtype=np.uint64) << np.uint64(32) | np.uint64(7), keys)
-    assert np.isnan(trie.find(others)).all()
-    for values in ([], [0], [0, 0, 5, 5, 1 << 40]):
+    for universe, values in ((1 << 41, [0, 0, 5, 5, 1 << 40]), (10, [3]), (1 << 32, np.unique(rng.integers(0, 1 << 32, 5000))), (1 << 50, np.arange(3000) + (1 << 49)), (3001, np.arange(3001)), (1 << 36, np.sort(rng.integers(0, 64, 2000)))):
         v = np.array(values, np.uint64)
-        assert lm.EliasFano.encode(v, 1 << 41).decode().tolist() == values
+        coded = lm.EliasFano.encode(v, universe)
+        assert (coded.get(np.arange(len(v))) == v).all()
+        ranges = np.zeros(len(v), np.int64), np.full(len(v), len(v), np.int64)
+        assert (v[coded.find(v, *ranges)] == v).all()
+        others = np.setdiff1d(rng.integers(0, universe, 500, dtype=np.uint64), v)
+        assert (coded.find(others, np.zeros(len(others), np.int64), np.full(len(others), len(v), np.int64)) == -1).all()
+
+
+def test_trie():
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 50, 900, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 200, 900, dtype=np.uint64))
+    below = np.unique(rng.integers(0, len(pairs), 5000) * 1000 + rng.integers(0, 1000, 5000))
+    home, thirds = below // 1000, (below % 1000).astype(np.uint32)
+    counts = rng.integers(1, 1000, len(home))
+    totals = np.maximum(np.bincount(home, counts, len(pairs)), 1)
+    trie = lm.Trie(pairs, totals, home, thirds, counts)
+    assert (trie.places(pairs) == np.arange(len(pairs))).all()
+    value = trie.value(trie.successors(home, thirds))
+    assert np.abs(value - np.log10(counts - lm.CUT) - lm.seen_weight(totals[home])).max() <= trie.step / 2 + 1e-9
+    others = np.setdiff1d(rng.integers(0, 60, 500, dtype=np.uint64) << np.uint64(32) | np.uint64(7), pairs)
+    assert (trie.places(others) == -1).all() and (trie.successors(home, thirds + np.uint32(1000)) == 0).all()
+    none = lm.Trie(pairs[:0], totals[:0], home[:0], thirds[:0], counts[:0])
+    assert (none.places(pairs) == -1).all() and (none.successors(none.places(pairs), np.zeros(len(pairs), np.uint32)) == 0).all()
 
 
 def test_media(awkward):
