@@ -22,9 +22,11 @@ P(w | u, v) is at most 1. Neither vocabulary nor n-grams are ever held in one pl
            range that the context's pointers give. Each block gets the codes of its keys;
 3. blocks  a block's tokens meet the codes of its keys, and give its documents' scores.
 
-In the trie words are told by 32 bits of their hash. So n-grams are confused only if they
-share a shard and agree in 32 bits wherever their words differ: of m words that follow one
-context, about m * m / 2**33 pairs. Word counts are by the whole 64 bits.
+In the trie the first word is told by 32 bits of its hash, the others by 24; the shard
+tells the second word further. So n-grams are confused only if they share a shard and agree
+in those bits wherever their words differ: of m words that follow one pair of words, about
+m * m / 2**25 pairs (3 of 10 000), of m words that follow one word, that over the number of
+shards. Word counts are by the whole 64 bits.
 """
 
 from __future__ import annotations
@@ -46,22 +48,19 @@ from .textscan import SPACE, Scan, mix, word_hash
 
 CUT, CAP, FALL = 0.35, 0.9, 0.14
 FOLDS, HELD = 7, 2
-BLOCK_WORDS, BLOCK_DOCS, WORDS_PER_SHARD, LEAST_SHARDS = 500_000, 60_000, 2_000_000, 24
-END, START = (np.uint64(word_hash("end of text") ^ k) for k in (0x5DEECE66D, 0x2545F4914F6CDD1D))
+BLOCK_WORDS, BLOCK_DOCS, WORDS_PER_SHARD, LEAST_SHARDS = 800_000, 60_000, 2_000_000, 24
+END, START = np.uint64(word_hash("end of text") ^ 0x5DEECE66D), np.uint64((1 << 64) - 1)
 _ROW = "slot int, block long, kind string, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed value. Sorted 64-bit keys are told by their differences,
-    byte plane by byte plane, so that planes of zeros vanish."""
+    """Arrays in one compressed value: byte plane by byte plane, so that planes of zeros
+    vanish; sorted 64-bit keys are told by their differences."""
     parts = []
     for a in arrays:
-        a, sorted_ = np.ascontiguousarray(a), False
-        if a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all()):
-            sorted_, count = True, len(a)
-            data = np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(count, 8).T.tobytes()
-        else:
-            data = a.tobytes()
+        sorted_ = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        a = np.ascontiguousarray(np.diff(a, prepend=np.uint64(0)) if sorted_ else a)
+        data = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
         parts += [struct.pack("<2s?q", a.dtype.str[1:].encode(), sorted_, len(data)), data]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -72,11 +71,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     while at < len(data):
         kind, sorted_, size = struct.unpack_from("<2s?q", data, at)
         at += 11
-        if sorted_:
-            planes = np.frombuffer(data, np.uint8, size, at).reshape(8, size // 8)
-            out.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel()))
-        else:
-            out.append(np.frombuffer(data, np.dtype("<" + kind.decode()), size // int(kind[1:]), at))
+        width = int(kind[1:])
+        planes = np.frombuffer(data, np.uint8, size, at).reshape(width, size // width)
+        a = np.ascontiguousarray(planes.T).view("<" + kind.decode()).ravel()
+        out.append(np.cumsum(a) if sorted_ else a)
         at += size
     return out
 
@@ -201,18 +199,26 @@ def seen_weight(count: np.ndarray) -> np.ndarray:
     return np.log10(1 - np.where(count > 0, backoff(count), 0)) - np.log10(np.maximum(count, 1))
 
 
-_LOW = np.uint64(0xFFFFFFFF)
+#: Bits of the second and third words of a key.
+BITS = np.uint64(24)
+_LOW = np.uint64((1 << 24) - 1)
+
+
+def word_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of a word, by ranges of hashes, and where in its range it lies, as BITS."""
+    spot = (words >> np.uint64(24)) * np.uint64(shards)
+    return (spot >> np.uint64(40)).astype(np.int64), (spot >> np.uint64(16)) & _LOW
 
 
 class Trie:
     """Three levels of words, in one mapped file. ``pairs`` are sorted distinct keys of 32
-    bits of the first and of the second word, with counts; the third words come per pair:
+    bits of the first and BITS of the second word, with counts; the third words come per pair:
     ``home`` (place of the pair, ascending) and ``thirds`` (ascending within a pair)."""
 
     CODES = 255
 
     def __init__(self, pairs: np.ndarray, pair_counts: np.ndarray, home: np.ndarray, thirds: np.ndarray, counts: np.ndarray):
-        first, start = np.unique(pairs >> np.uint64(32), return_index=True)
+        first, start = np.unique(pairs >> BITS, return_index=True)
         above = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff([*start, len(pairs)]).astype(np.int64))
         begins = np.searchsorted(home, np.arange(len(pairs) + 1))
         value = np.log10(counts - CUT) + seen_weight(pair_counts[home])
@@ -221,8 +227,8 @@ class Trie:
         codes = np.round((value - self.least) / self.step).astype(np.uint8) + np.uint8(1)
         levels = [
             EliasFano.encode(first, 1 << 32), EliasFano.encode(np.append(start, len(pairs)), len(pairs) + 1),
-            EliasFano.encode((above << np.uint64(32)) | (pairs & _LOW), max(1, len(first)) << 32), EliasFano.encode(begins, len(home) + 1),
-            EliasFano.encode((home.astype(np.uint64) << np.uint64(32)) | thirds.astype(np.uint64), max(1, len(pairs)) << 32),
+            EliasFano.encode((above << BITS) | (pairs & _LOW), max(1, len(first)) << 24), EliasFano.encode(begins, len(home) + 1),
+            EliasFano.encode((home.astype(np.uint64) << BITS) | thirds.astype(np.uint64), max(1, len(pairs)) << 24),
         ]
         self._map(levels, [count_codes(pair_counts), codes])
 
@@ -248,11 +254,11 @@ class Trie:
         if not self.second.count:
             return out
         begin, end = np.zeros(len(pairs), np.int64), np.full(len(pairs), self.first.count, np.int64)
-        rank = self.first.find(pairs >> np.uint64(32), begin, end)
+        rank = self.first.find(pairs >> BITS, begin, end)
         known = np.flatnonzero(rank >= 0)
         rank = rank[known]
         begin, end = (self.to_second.get(rank + k).astype(np.int64) for k in (0, 1))
-        out[known] = self.second.find((rank.astype(np.uint64) << np.uint64(32)) | (pairs[known] & _LOW), begin, end)
+        out[known] = self.second.find((rank.astype(np.uint64) << BITS) | (pairs[known] & _LOW), begin, end)
         return out
 
     def successors(self, home: np.ndarray, thirds: np.ndarray) -> np.ndarray:
@@ -262,7 +268,7 @@ class Trie:
         if self.third.count and len(known):
             rank = home[known]
             begin, end = (self.to_third.get(rank + k).astype(np.int64) for k in (0, 1))
-            at = self.third.find((rank.astype(np.uint64) << np.uint64(32)) | thirds[known].astype(np.uint64), begin, end)
+            at = self.third.find((rank.astype(np.uint64) << BITS) | thirds[known].astype(np.uint64), begin, end)
             out[known[at >= 0]] = self.codes[at[at >= 0]]
         return out
 
@@ -273,10 +279,12 @@ class Trie:
 
 class Grams:
     """The distinct n-grams of a block, in the order in which they are sent: by shard and
-    key. ``tokens`` are numbers in ``words`` (sorted hashes), ``sizes`` tokens a text."""
+    words. ``tokens`` are numbers of the block's words in the order of their hashes, of
+    which ``cuts`` (shards + 1) tells each shard's; ``sizes`` are the tokens of each text.
+    Hashes aren't needed, so that a block can find its answers again without them."""
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, shards: int):
-        many, k = len(words), len(sizes)
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, cuts: np.ndarray):
+        many, k, shards = int(cuts[-1]), len(sizes), len(cuts) - 1
         line = np.full(len(tokens) + 2 * k, many, np.int64)  # start marks have the next number
         ends = np.cumsum(sizes + 2)
         inside = np.ones(len(line), bool)
@@ -291,23 +299,18 @@ class Grams:
         of_line[at] = which
         at = np.flatnonzero(tripled)
         triple, third_of = np.unique(of_line[at] * (many + 1) + line[at + 2], return_inverse=True)
-        hashes = np.append(words, START)
-        u, v = hashes[pair // (many + 1)], hashes[pair % (many + 1)]
-        shard = (mix(u * np.uint64(31) + v) % np.uint64(shards)).astype(np.int32)
-        key = (u & ~_LOW) | (v >> np.uint64(32))
-        order = np.lexsort((key, shard))
+        home = np.append(np.repeat(np.arange(shards), np.diff(cuts)), shards - 1)  # of a word
+        first, second = pair // (many + 1), pair % (many + 1)
+        shard = (home[first] + home[second]) % shards
+        order = np.argsort(shard, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        self.pairs, self.pair_shard, self.pair_of = key[order], shard[order], rank[which]
-        home, third = rank[triple // (many + 1)], (hashes[triple % (many + 1)] >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((third, home))
+        self.first, self.second, self.pair_shard, self.pair_of = first[order], second[order], shard[order], rank[which]
+        home = rank[triple // (many + 1)]
+        order = np.argsort(home, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        self.home, self.thirds, self.third_of = home[order], third[order], rank[third_of]
-
-
-def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(words + np.uint64(77)) % np.uint64(shards)).astype(np.int32)
+        self.home, self.third, self.third_of = home[order], (triple % (many + 1))[order], rank[third_of]
 
 
 class _Blocks:
@@ -326,23 +329,28 @@ class _Blocks:
         hashes[is_end], hashes[~is_end] = END, scan.hashes
         del scan
         words, tokens = np.unique(hashes, return_inverse=True)
-        grams = Grams(words, tokens, sizes, self.shards)
+        shard, spot = word_shard(np.append(words, START), self.shards)
+        cuts = np.searchsorted(shard[:-1], np.arange(self.shards + 1))
+        grams = Grams(tokens, sizes, cuts)
         learned = (~held).astype(float)
         word_n = np.bincount(tokens, np.repeat(learned, sizes), len(words)).astype(np.uint32)
-        pair_n = np.bincount(grams.pair_of, learned[grams.doc_of_pair], len(grams.pairs)).astype(np.uint32)
-        third_n = np.bincount(grams.third_of, np.repeat(learned, sizes), len(grams.thirds)).astype(np.uint32)
-        word_shard, per = _word_shard(words, self.shards), np.bincount(grams.home, minlength=len(grams.pairs)).astype(np.uint32)
-        dealt = np.argsort(word_shard, kind="stable")
-        word_cuts, pair_cuts = (np.searchsorted(x, np.arange(self.shards + 1)) for x in (word_shard[dealt], grams.pair_shard))
+        pair_n = np.bincount(grams.pair_of, learned[grams.doc_of_pair], len(grams.first)).astype(np.uint32)
+        third_n = np.bincount(grams.third_of, np.repeat(learned, sizes), len(grams.third)).astype(np.uint32)
+        pairs = ((np.append(words, START) >> np.uint64(32))[grams.first] << BITS) | spot[grams.second]
+        per, thirds = np.bincount(grams.home, minlength=len(pairs)).astype(np.uint32), spot.astype(np.uint32)[grams.third]
+        pair_cuts = np.searchsorted(grams.pair_shard, np.arange(self.shards + 1))
         third_cuts = np.searchsorted(grams.home, pair_cuts)
         out = []
         for k in range(self.shards):
-            w, p, t = dealt[word_cuts[k] : word_cuts[k + 1]], slice(*pair_cuts[k : k + 2]), slice(*third_cuts[k : k + 2])
-            if len(w) or p.stop > p.start:
-                out.append((k, block, "keys", pack(words[w], word_n[w], grams.pairs[p], pair_n[p], per[p], grams.thirds[t], third_n[t])))
+            w, p, t = slice(*cuts[k : k + 2]), slice(*pair_cuts[k : k + 2]), slice(*third_cuts[k : k + 2])
+            if w.stop > w.start or p.stop > p.start:
+                out.append((k, block, "keys", pack(words[w], word_n[w], pairs[p], pair_n[p], per[p], thirds[t], third_n[t])))
+        # Numbers by frequency take less room.
+        common = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        number = np.empty_like(common)
+        number[common] = np.arange(len(common))
         named = "\n".join(i or "" for i in ids).encode()
-        small = np.uint16 if len(words) < 1 << 16 else np.uint32
-        head = pack(words, tokens.astype(small), sizes.astype(np.uint32), held, np.frombuffer(named, np.uint8))
+        head = pack(common.astype(np.uint32), number[tokens].astype(np.uint32), sizes.astype(np.uint32), held, np.frombuffer(named, np.uint8))
         out.append((self.shards + block % 1_000_003, block, "head", head))
         return pd.DataFrame(out, columns=["slot", "block", "kind", "data"])
 
@@ -415,12 +423,13 @@ def _finish(shards: int):
         if key[0] == -1:
             totals = sum(unpack(d)[0] for d in group["data"])
             return pd.DataFrame([("total", None, None, None, None, *map(float, totals), None)], columns=columns)
-        words, tokens, sizes, held, named = unpack(group["data"][group["kind"] == "head"].iloc[0])
-        tokens, sizes = tokens.astype(np.int64), sizes.astype(np.int64)
-        grams = Grams(words, tokens, sizes, shards)
-        answers = [unpack(d) for d in group[group["kind"] == "codes"].sort_values("slot")["data"]]
-        word_n = np.empty(len(words))
-        word_n[np.argsort(_word_shard(words, shards), kind="stable")] = np.concatenate([x[1] for x in answers])
+        common, tokens, sizes, held, named = unpack(group["data"][group["kind"] == "head"].iloc[0])
+        tokens, sizes = common.astype(np.int64)[tokens], sizes.astype(np.int64)
+        sent = group[group["kind"] == "codes"].sort_values("slot")
+        answers, many = [unpack(d) for d in sent["data"]], np.zeros(shards, np.int64)
+        many[sent["slot"]] = [len(x[1]) for x in answers]
+        grams = Grams(tokens, sizes, np.concatenate(([0], np.cumsum(many))))
+        word_n = np.concatenate([x[1] for x in answers]).astype(float)
         pair_n = COUNTS[np.concatenate([x[2] for x in answers])][grams.pair_of]
         codes = np.concatenate([x[3] for x in answers])
         values = np.concatenate([scale[0] + scale[1] * (c.astype(float) - 1) for scale, _, _, c in answers])[grams.third_of]
@@ -432,7 +441,7 @@ def _finish(shards: int):
         starts = np.cumsum(sizes) - sizes
         before = np.empty(len(tokens))
         before[1:] = count[:-1]
-        before[starts] = word_n[np.searchsorted(words, END)]  # as many texts start as end
+        before[starts] = count[starts + sizes - 1]  # as many texts start as end
         unknown = bigram == 0
         two = np.where(unknown, np.log10(backoff(before)) + np.log10(count + 1), np.log10(np.maximum(bigram, 1) - CUT) + seen_weight(before))
         score = np.where(seen, values, np.log10(backoff(context)) + two)

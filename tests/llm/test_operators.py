@@ -200,7 +200,7 @@ def test_elias_fano():
 
 def test_trie():
     rng = np.random.default_rng(3)
-    pairs = np.unique(rng.integers(0, 50, 900, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 200, 900, dtype=np.uint64))
+    pairs = np.unique(rng.integers(0, 50, 900, dtype=np.uint64) << lm.BITS | rng.integers(0, 200, 900, dtype=np.uint64))
     below = np.unique(rng.integers(0, len(pairs), 5000) * 1000 + rng.integers(0, 1000, 5000))
     home, thirds = below // 1000, (below % 1000).astype(np.uint32)
     counts = rng.integers(1, 1000, len(home))
@@ -209,7 +209,7 @@ def test_trie():
     assert (trie.places(pairs) == np.arange(len(pairs))).all()
     value = trie.value(trie.successors(home, thirds))
     assert np.abs(value - np.log10(counts - lm.CUT) - lm.seen_weight(totals[home])).max() <= trie.step / 2 + 1e-9
-    others = np.setdiff1d(rng.integers(0, 60, 500, dtype=np.uint64) << np.uint64(32) | np.uint64(7), pairs)
+    others = np.setdiff1d(rng.integers(0, 60, 500, dtype=np.uint64) << lm.BITS | np.uint64(7), pairs)
     assert (trie.places(others) == -1).all() and (trie.successors(home, thirds + np.uint32(1000)) == 0).all()
     none = lm.Trie(pairs[:0], totals[:0], home[:0], thirds[:0], counts[:0])
     assert (none.places(pairs) == -1).all() and (none.successors(none.places(pairs), np.zeros(len(pairs), np.uint32)) == 0).all()
