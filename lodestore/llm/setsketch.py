@@ -18,8 +18,12 @@ probability close to the Jaccard similarity.
    same or the next bin) and by whether they belong to the bucket's largest component,
    whose members needn't meet each other. Lots of up to 512 members meet in pairs of lots,
    each a row group of its own. There pairs of different components get a joint likelihood
-   estimate from their sketches; what isn't hopeless is confirmed. Pairs within a
-   component can't change the result; all others that could link are tested.
+   estimate from their sketches, and each node's likeliest partner is confirmed.
+5. The third round does the same once more with the components that are left. All pairs
+   whose estimate isn't hopeless are confirmed, and as there may be very many of them, they
+   are where they were found: members with such a partner bring their texts to the pair of
+   lots, and links alone leave it. Pairs within a component can't change the result; all
+   others that could link are tested.
 
 Full sets are confirmed from texts: compressed, they take half the room of hashed sets.
 """
@@ -42,10 +46,10 @@ REGISTERS, ROWS, BANDS = 384, 4, 48
 BASE, RATE, TOP = 1.001, 20.0, 65535
 SHINGLE = 5
 #: A pair whose estimate is below the threshold by more than this many standard
-#: errors isn't confirmed; the chance to lose a true pair is below 1e-8.
-ERRORS = 6.0
-#: Members of a lot of an open bucket.
-BLOCK = 512
+#: errors isn't confirmed; a true pair at the threshold itself is lost with a chance of 1e-6.
+ERRORS = 5.0
+#: Members of a lot of an open bucket, and shingles of all its members, about.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
@@ -160,9 +164,11 @@ def _band_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": batch["node"], "bands": list(bands(registers))})
 
 
-def _crossing(threshold: float):
+def _crossing(threshold: float, likeliest: bool):
     """Hopeful pairs of different components in pairs of lots; rows come sorted by bucket
-    and lots. A pair that shares several bands is told by the first of them alone."""
+    and lots. A pair that shares several bands is told by the first of them alone. With
+    ``likeliest`` a node tells one partner a pair of lots, and the similarity; else every
+    member with a hopeful pair is told, with the partners that others don't tell."""
     floor, parts = threshold - ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5, round(threshold * 100)
 
     def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -172,6 +178,8 @@ def _crossing(threshold: float):
         starts = np.flatnonzero(np.concatenate(([True], (np.diff(band) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0))))
         ends = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
         partners = ends - np.arange(len(rows)) - 1
+        best, partner = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+        lefts, rights = [], []
         for lot in np.split(np.arange(len(rows)), np.searchsorted(np.cumsum(partners), np.arange(50_000, partners.sum() + 1, 50_000))):
             i = np.repeat(lot, partners[lot])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(partners[lot]) - partners[lot], partners[lot])
@@ -183,23 +191,74 @@ def _crossing(threshold: float):
             # The share of equal registers is at most a little above the similarity.
             near = np.count_nonzero(registers[i] == registers[j], axis=1) >= (floor - 0.02) * REGISTERS
             i, j = i[near], j[near]
-            if len(i):
-                fits = estimate(registers[i], registers[j], size[i].astype(float), size[j].astype(float)) >= floor
-                yield pd.DataFrame({"a": np.minimum(node[i], node[j])[fits], "b": np.maximum(node[i], node[j])[fits]})
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if not len(i):
+                continue
+            like = estimate(registers[i], registers[j], size[i].astype(float), size[j].astype(float))
+            i, j, like = i[like >= floor], j[like >= floor], like[like >= floor]
+            if not len(i):
+                continue
+            if not likeliest:
+                lefts.append(i)
+                rights.append(j)
+                continue
+            for one, other in ((i, j), (j, i)):
+                rising = np.argsort(like, kind="stable")  # the last of several assignments stays
+                one, other, value = one[rising], other[rising], like[rising]
+                better = value > best[one]
+                best[one[better]], partner[one[better]] = value[better], node[other[better]]
+        told = np.flatnonzero(best)
+        if len(told):
+            yield pd.DataFrame({"node": node[told], "partner": partner[told], "likeness": best[told]})
+        if lefts:
+            i, j = np.concatenate(lefts), np.concatenate(rights)
+            i, j = i[np.argsort(i, kind="stable")], j[np.argsort(i, kind="stable")]
+            at = np.union1d(i, j)
+            partners = np.split(node[j], np.searchsorted(i, at))[1:]  # none are before the first
+            yield pd.DataFrame({"band": band[at], "low": low[at], "high": high[at], "node": node[at], "partners": partners})
+
+    return _by_lots(pairs_of)
+
+
+def _by_lots(work):
+    """Hands whole pairs of lots to ``work``; rows come sorted by them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
         for batch in batches:
             rows = batch if left is None else pd.concat([left, batch], ignore_index=True)
             keys = rows[["band", "low", "high"]].to_numpy()
             open_ = len(rows) if not len(rows) else int(np.flatnonzero((keys == keys[-1]).all(axis=1))[0])
             if open_:
-                yield from pairs_of(rows.iloc[:open_])
+                yield from work(rows.iloc[:open_])
             left = rows.iloc[open_:]
         if left is not None and len(left):
-            yield from pairs_of(left)
+            yield from work(left)
+
+    return run
+
+
+def _similar(a: np.ndarray, b: np.ndarray, parts: int) -> bool:
+    """Whether two sets have a similarity of ``parts`` in a hundred."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return bool(both) and 100 * both >= parts * (len(a) + len(b) - both)
+
+
+def _links_of_lots(threshold: float):
+    """Confirmed links among the members of a pair of lots."""
+    parts = round(threshold * 100)
 
-    return compare
+    def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, group in rows.groupby(["band", "low", "high"], sort=False):
+            texts, nodes, sets, found = group["text"].tolist(), group["node"].tolist(), [], []
+            for i, j in chunks(texts):
+                sets += shingle_sets(texts[i:j])
+            of = dict(zip(nodes, sets, strict=True))
+            for a, others in zip(nodes, group["partners"], strict=True):
+                found += [(min(a, b), max(a, b)) for b in others.tolist() if _similar(of[a], of[b], parts)]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return _by_lots(links)
 
 
 def _confirmed(threshold: float):
@@ -211,10 +270,7 @@ def _confirmed(threshold: float):
         for x, y in zip(a, b, strict=True):
             if last is None or x != last:
                 last, set_a = x, shingle_sets([x])[0]
-            set_b = shingle_sets([y])[0]
-            both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-            union = len(set_a) + len(set_b) - both
-            out.append(bool(both) and 100 * both >= parts * union)
+            out.append(_similar(set_a, shingle_sets([y])[0], parts))
         return pd.Series(out, dtype=bool)
 
     return confirmed
@@ -258,7 +314,7 @@ class NearDuplicates:
         main = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
         bin_ = F.floor(F.log("n_shingles") / F.log(F.lit(1 / self.threshold)) + F.lit(1e-9)).cast("int")
         placed = open_.join(main, "band").withColumn("kind", bin_ * 2 + (F.col("component") == F.col("main")).cast("int"))
-        counts = placed.groupBy("band", "kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
+        counts = placed.groupBy("band", "kind").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("lots"))
         known = counts.groupBy("band").agg(F.collect_list(F.struct("kind", "lots")).alias("known"))  # two kinds a size bin: a few dozen
         placed = placed.join(known, "band")
 
@@ -275,8 +331,9 @@ class NearDuplicates:
         return dealt.join(nodes.select("node", "sketch", "n_shingles"), "node")
 
     def placed(self, unnamed: bool) -> tuple[DataFrame, DataFrame]:
-        """Two tables: the rows that have shingles (doc_id, ``carry``, n_shingles, node,
-        component), and those that haven't (doc_id, ``carry``, n_shingles).
+        """Two tables: the rows that have shingles (doc_id, ``carry``, n_shingles,
+        component and least_id, the component's smallest doc_id), and those that haven't
+        (doc_id, ``carry``, n_shingles).
 
         A component is the smallest node of linked texts. Without ``unnamed``, rows that
         lack a doc_id are of the second table, and texts of one doc_id are linked.
@@ -287,7 +344,7 @@ class NearDuplicates:
         since = written()
         usable = F.col("set_key").isNotNull() if unnamed else F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
         real = sketched.where(usable)
-        named = real.groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key"))
+        named = real.groupBy("set_key").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
         # The number is fixed once the table is written.
         nodes = materialise(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
         keys = nodes.select("set_key", "node")
@@ -305,18 +362,37 @@ class NearDuplicates:
         links = self._verify(tried, texts)
         links = materialise(links if unnamed else links.union(_same_id(real, keys)), "links")
         labels = materialise(connected_components(links), "labels")
-        placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-        open_ = materialise(placed.join(open_, "band").join(sizes, "node"), "open")
-        dealt = self._lots(open_, nodes).repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-        crossing = dealt.mapInPandas(_crossing(self.threshold), "a long, b long")
-        more = materialise(self._verify(crossing.distinct().join(tried, ["a", "b"], "left_anti"), texts), "more")
-        if not more.isEmpty():
-            labels = connected_components(links.union(more))
-        homes = materialise(keys.join(labels, "node", "left").select("set_key", "node", F.coalesce("component", "node").alias("component")), "homes")
+        for look in (self._likeliest, self._remaining):
+            more = materialise(look(self._dealt(members, labels, nodes), tried, texts), "more")
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = materialise(connected_components(links), "labels")
+        homes = nodes.select("set_key", "node", "doc_id").join(labels, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("component"))
+        homes = materialise(homes, "homes")
         discard(sketched.sparkSession, since, keep=1)
         columns = ["doc_id", *(f"`{c}`" for c in self.carry), "n_shingles"]
-        return real.join(homes, "set_key").select(*columns, "node", "component"), sketched.where(~usable).select(*columns)
+        least = homes.groupBy("component").agg(F.min("doc_id").alias("least_id"))
+        homes = homes.drop("doc_id").join(least, "component")
+        return real.join(homes, "set_key").select(*columns, "component", "least_id"), sketched.where(~usable).select(*columns)
+
+    def _dealt(self, members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The members of buckets with several components, by pairs of lots."""
+        placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        several = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+        open_ = materialise(placed.join(several, "band").join(nodes.select("node", "n_shingles"), "node"), "open")
+        return _sorted_by_lots(self._lots(open_, nodes))
+
+    def _likeliest(self, dealt: DataFrame, tried: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links of nodes with their likeliest partners, one for each node at most."""
+        pairs = dealt.mapInPandas(_crossing(self.threshold, True), "node long, partner long, likeness double")
+        best = pairs.groupBy("node").agg(F.max(F.struct("likeness", "partner"))["partner"].alias("partner"))
+        best = best.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b"))
+        return self._verify(best.distinct().join(tried, ["a", "b"], "left_anti"), texts)
+
+    def _remaining(self, dealt: DataFrame, _: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links of all pairs that aren't hopeless, confirmed in their lots."""
+        told = dealt.mapInPandas(_crossing(self.threshold, False), "band long, low long, high long, node long, partners array<long>")
+        return _sorted_by_lots(told.join(texts, "node")).mapInPandas(_links_of_lots(self.threshold), "a long, b long").distinct()
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row.
@@ -327,12 +403,15 @@ class NearDuplicates:
         rows share a component. No input rows, no output rows.
         """
         placed, alone = self.placed(unnamed=False)
-        least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        named = placed.join(least, "component").select("doc_id", "n_shingles", "component_id")
+        named = placed.select("doc_id", "n_shingles", F.col("least_id").alias("component_id"))
         alone = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return named.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _sorted_by_lots(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+
 def _same_id(real: DataFrame, keys: DataFrame) -> DataFrame:
     """Links between the texts of one doc_id."""
     several = real.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id", "x")

@@ -25,29 +25,41 @@ from .textscan import ALNUM, Scan, chunks
 
 FOLDS, HELD = 4, 2
 PREFIXES, LEAST, STRONG = (4, 5, 6), 3, 2.0
-#: A longer token isn't one word: it is cut at characters that are no letters or signs.
-LONG = 64
+#: Tokens of at most this length are decoded once per task and remembered.
+REMEMBERED = 64
 
 # Letters that a sign may stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
+    # Cyrillic and Greek letters that look like Latin ones.
+    "а": "a", "в": "b", "е": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "uy", "х": "x",
+    "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
 
 #: Symbols: 0 is any non-letter, 1-26 a-z, 27-59 the Latin letters U+00DF-U+00FF.
 SYMBOLS = 60
-_CODE = np.zeros(0x250, np.int64)
+_FAR = 0x250
+#: Code points of signs from _FAR upwards, in order, and where the tables have them.
+_FAR_SIGNS = np.array(sorted({ord(x) for c in STANDS_FOR for x in (c, c.upper()) if len(x) == 1 and ord(x) >= _FAR}), np.uint32)
+_CODE = np.zeros(_FAR + len(_FAR_SIGNS), np.int64)
 _CODE[0x61:0x7B] = _CODE[0x41:0x5B] = np.arange(1, 27)
 _CODE[0xDF:0x100] = np.arange(27, 60)
 _CODE[0xC0:0xDF] = _CODE[0xE0:0xFF]
 _CODE[[0xD7, 0xF7]] = 0
-_SIGN = np.zeros(0x250, bool)
-_SIGN[[ord(c) for c in STANDS_FOR if ord(c) < 0x250]] = True
+_SIGN = np.zeros(len(_CODE), bool)
+_SIGN[[ord(c) for c in STANDS_FOR if ord(c) < _FAR]] = _SIGN[_FAR:] = True
 
 
 def codes(text: str) -> np.ndarray:
+    """Code points below _FAR, places of signs beyond, and 0 for all else."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 0x250, points, 0)
+    near = np.where(points < _FAR, points, 0)
+    far = np.flatnonzero(points >= _FAR)
+    if len(far):
+        at = np.minimum(np.searchsorted(_FAR_SIGNS, points[far]), len(_FAR_SIGNS) - 1)
+        near[far] = np.where(_FAR_SIGNS[at] == points[far], _FAR + at, 0)
+    return near
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +85,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def _letter(c: str) -> int:
-    return int(_CODE[ord(c)]) if len(c) == 1 and ord(c) < 0x250 else 0
+    return int(_CODE[ord(c)]) if len(c) == 1 and ord(c) < _FAR else 0
 
 
 def decode(token: str, model: np.ndarray, breaks: bool = False) -> str:
@@ -129,17 +141,13 @@ def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
     pairs = pairs[np.bincount(home)[home] >= 2] if len(pairs) else pairs
     hidden = np.concatenate((np.flatnonzero(sign[:-1] & letter[1:]), np.flatnonzero(letter[:-1] & sign[1:]) + 1, np.flatnonzero(triple), pairs))
     for k in np.unique(np.searchsorted(edges, hidden)).tolist():
-        tokens = [(int(edges[k - 1]) + 1 if k else 0, int(edges[k]) if k < len(edges) else len(s))]
-        if tokens[0][1] - tokens[0][0] > LONG:
-            step = np.diff(np.concatenate(([0], part[slice(*tokens[0])].astype(np.int8), [0])))
-            tokens = list(zip((tokens[0][0] + np.flatnonzero(step > 0)).tolist(), (tokens[0][0] + np.flatnonzero(step < 0)).tolist(), strict=True))
-        for low, high in tokens:
-            while low < high and not part[low]:
-                low += 1
-            while low < high and not (letter[high - 1] or 0x30 <= s[high - 1] < 0x3A):
-                high -= 1
-            if high - low >= 3 and letter[low:high].any() and (sign[low:high].any() or triple[low : high - 2].any() or np.count_nonzero(double[low : high - 1]) >= 2):
-                spans.add((low, high))
+        low, high = int(edges[k - 1]) + 1 if k else 0, int(edges[k]) if k < len(edges) else len(s)
+        while low < high and not part[low]:
+            low += 1
+        while low < high and not (letter[high - 1] or 0x30 <= s[high - 1] < 0x3A or s[high - 1] >= _FAR):
+            high -= 1
+        if high - low >= 3 and letter[low:high].any() and (sign[low:high].any() or triple[low : high - 2].any() or np.count_nonzero(double[low : high - 1]) >= 2):
+            spans.add((low, high))
     lone = part.copy()
     lone[1:] &= ~part[:-1]
     lone[:-1] &= ~part[1:]
@@ -160,13 +168,22 @@ def _disguised(s: np.ndarray) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
+def _said(c: str) -> bool:
+    """Whether a character is a letter or may stand for one."""
+    return bool(_letter(c)) or c.lower() in STANDS_FOR
+
+
 def _readings(token: str, model: np.ndarray) -> str:
-    """The decoded token; where another reading is as well founded, both: letters set
-    apart as one word and as several, and doubled letters as they are written."""
+    """The decoded token; where other readings are as well founded, all: letters set
+    apart as one word, as several where the character model has a break, and as several
+    where other characters part them; and doubled letters as they are written."""
     plain = decode(token, model)
     out = [plain]
-    if any(not (_letter(c) or c in STANDS_FOR) for c in token):
+    if any(not _said(c) for c in token):
         out.append(" ".join(decode(token, model, True).split()))
+        parts = "".join(c if _said(c) else " " for c in token).split()
+        if any(len(p) > 1 for p in parts):
+            out.append(" ".join(decode(p, model) if any(c.lower() in STANDS_FOR for c in p) else p for p in parts))
     elif all(_letter(c) for c in token) and not any(a == b == c for a, b, c in zip(token.lower(), token[1:].lower(), token[2:].lower())):
         out.insert(0, token)
     return " ".join(dict.fromkeys(out))
@@ -186,7 +203,7 @@ def restore(text: str | None, model: np.ndarray, known: dict[str, str] | None =
         plain = None if known is None else known.get(token)
         if plain is None:
             plain = _readings(token, model)
-            if known is not None and high - low <= LONG and len(known) < 100_000:
+            if known is not None and high - low <= REMEMBERED and len(known) < 100_000:
                 known[token] = plain
         out += [text[at:low], plain]
         at = high

@@ -383,9 +383,9 @@ def test_isotonic():
 def test_restore(spark):
     plain = " ".join("the idiot was stupid and the loser is pathetic trash".split() * 50)
     model = toxicity.character_model(spark.createDataFrame([(plain,)], "text string"))
-    for said, meant in (("an 1d10t is", "idiot"), ("so stuuuupid", "stupid"), ("l o s e r talk", "loser"), ("p@thetic", "pathetic"), ("tr4sh!", "trash"), ("st" + "u" * 500 + "pid", "stupid"), ("plain," * 20 + "1d10t", "plain,idiot"), (" ".join("loser" * 40), "loserloser")):
+    for said, meant in (("an 1d10t is", "idiot"), ("so stuuuupid", "stupid"), ("l o s e r talk", "loser"), ("p@thetic", "pathetic"), ("tr4sh!", "trash"), ("st" + "u" * 500 + "pid", "stupid"), ("plain," * 8 + "1d10t", "plain idiot"), ("plain," * 20 + "1d10t", "plain idiot"), ("plain," * 4000 + "1d10t", "plain idiot"), ("id€ot", "ideot"), ("ѕtuріd", "stupid"), ("ІDІОT х", "idiot"), ("l0ѕer", "loser"), (" ".join("loser" * 40), "loserloser")):
         assert meant in toxicity.restore(said, model)
-    for same_ in ("the loser is", "what%%% ever&&& 2024", "", "see http://a.b/c"):
+    for same_ in ("the loser is", "what%%% ever&&& 2024", "", "see http://a.b/c", "это и в с у него", "το νερό"):
         assert toxicity.restore(same_, model) == same_
     assert toxicity.restore(None, model) == ""
 
