@@ -101,7 +101,11 @@ def coerce_column(value: Column, kind: str) -> Column:
         return F.when(F.try_parse_url(trimmed, F.lit("PROTOCOL")).isNotNull(), trimmed)
     if kind == "ref":
         return F.when(trimmed.rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lower(trimmed))
-    return trimmed
+    if kind == "bool":
+        return F.when(trimmed.isin("true", "false"), trimmed == "true")
+    if kind == "ident":
+        return F.when(trimmed.rlike(r"^[A-Za-z0-9._]+/[A-Za-z0-9._]+$"), trimmed)
+    return value.cast("binary") if kind == "bytes" else trimmed
 
 
 def entity_id(*keys: Column) -> Column:

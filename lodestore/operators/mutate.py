@@ -7,6 +7,7 @@ steps and checks have passed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -60,10 +61,19 @@ def _not_in(items: Column) -> Callable[[Column], Column]:
     return lambda x: ~F.coalesce(F.array_contains(items, x), F.lit(False))
 
 
+#: A text list column of a merge's delta: attributes that go.
+REMOVED = "_removed"
+
+
 def merge(frame: DataFrame, delta: DataFrame) -> DataFrame:
     """Overwrite attributes that the delta has; lists get the elements they lack, in the
-    delta's order; entities that don't exist are created. One full outer join on the id."""
-    new = _aligned(delta, frame)
+    delta's order; attributes that ``REMOVED`` lists become absent; entities that don't
+    exist are created. One full outer join on the id, which the delta has once each."""
+    gone = F.coalesce(F.col(REMOVED), F.array().cast("array<string>")) if REMOVED in delta.columns else None
+    new = _aligned(delta.drop(REMOVED), frame) if gone is None else delta.select("*").drop(REMOVED)
+    if gone is not None:
+        marks = delta.select(F.col(f"`{ID}`").alias("_of"), gone.alias(REMOVED))
+        new = _aligned(new, frame).join(marks, F.col(f"`{ID}`") == F.col("_of")).drop("_of")
     old, given = frame.alias("old"), new.alias("new")
     out = []
     for f in frame.schema:
@@ -73,6 +83,8 @@ def merge(frame: DataFrame, delta: DataFrame) -> DataFrame:
             merged = F.when(a.isNull() | b.isNull(), F.coalesce(b, a)).otherwise(F.concat(a, fresh))
         else:
             merged = F.coalesce(b, a)
+        if gone is not None and f.name not in (ID, TYPE):
+            merged = F.when(~F.coalesce(F.array_contains(F.col(f"new.{REMOVED}"), f.name), F.lit(False)), merged)
         out.append(merged.alias(f.name))
     return old.join(given, F.col(f"old.`{ID}`") == F.col(f"new.`{ID}`"), "full_outer").select(*out)
 
@@ -85,35 +97,60 @@ def delete_where(frame: DataFrame, registry: Registry, condition: Expr) -> DataF
     return frame.where(~Lowering(registry).predicate(condition))
 
 
+@dataclass(frozen=True)
+class Change:
+    """A change of one attribute: a name and its values, so that it can be logged."""
+
+    op: str
+    args: tuple = ()
+
+    def __call__(self, a: Column) -> Column:
+        values = [F.lit(v) for v in self.args]
+        match self.op:
+            case "put":
+                return values[0]
+            case "put_if":
+                return F.when(a.isNull() | (a == values[0]), values[1]).otherwise(a)
+            case "add":
+                return F.when(a.isNull(), F.array(values[0])).when(F.array_contains(a, values[0]), a).otherwise(F.array_append(a, values[0]))
+            case "remove":
+                return F.lit(None)
+            case "remove_if":
+                return F.when(a == values[0], F.lit(None)).otherwise(a)
+            case "remove_value":
+                return F.filter(a, lambda x: ~x.eqNullSafe(values[0]))
+        raise SchemaError(f"no change {self.op!r}")
+
+
 Patch = Callable[[Column], Column]
 
 
-def put(value: Any) -> Patch:
-    return lambda a: F.lit(value)
+def put(value: Any) -> Change:
+    return Change("put", (value,))
 
 
-def put_if(old: Any, new: Any) -> Patch:
+def put_if(old: Any, new: Any) -> Change:
     """Set where the value is absent or ``old``; others stay."""
-    return lambda a: F.when(a.isNull() | (a == F.lit(old)), F.lit(new)).otherwise(a)
+    return Change("put_if", (old, new))
 
 
-def add(value: Any) -> Patch:
+def add(value: Any) -> Change:
     """Append to a list that lacks the value."""
-    return lambda a: F.when(a.isNull(), F.array(F.lit(value))).when(F.array_contains(a, F.lit(value)), a).otherwise(F.array_append(a, F.lit(value)))
+    return Change("add", (value,))
 
 
-def remove() -> Patch:
-    return lambda a: F.lit(None)
+def remove() -> Change:
+    return Change("remove")
 
 
-def remove_if(old: Any) -> Patch:
+def remove_if(old: Any) -> Change:
     """Remove a value that equals ``old``; others stay."""
-    return lambda a: F.when(a == F.lit(old), F.lit(None)).otherwise(a)
+    return Change("remove_if", (old,))
 
 
-def remove_value(old: Any) -> Patch:
+def remove_value(old: Any) -> Change:
     """Drop equal elements of a list."""
-    return lambda a: F.filter(a, lambda x: ~x.eqNullSafe(F.lit(old)))
+    return Change("remove_value", (old,))
 
 
 def patch(frame: DataFrame, changes: dict[str, Patch], where: Column | None = None) -> DataFrame:
@@ -180,15 +217,21 @@ def wrong_class(frame: DataFrame, reference: str, targets: DataFrame, allowed: l
     return joined.where(~F.coalesce(F.col("_type").isin(allowed), F.lit(False))).drop("_target", "_type")
 
 
-def validate(frame: DataFrame, registry: Registry, name: str, entities: DataFrame) -> None:
-    """Raise ConstraintError if the class frame breaks a constraint."""
-    if set(frame.columns) - set(struct_of(registry, name).names) and registry.entity_class(name).strict:
-        raise SchemaError(f"{name} is strict")
-    require_none(lacking_required(frame, registry, name), "required attributes are absent")
+def validate(frame: DataFrame, registry: Registry, name: str, entities: DataFrame, ids: list[str] | None = None) -> None:
+    """Raise ConstraintError if the class frame breaks a constraint; ``name`` is "" for
+    entities without class. With ``ids`` only those entities have changed, and only they
+    and what they may clash with are looked at."""
+    changed = frame if ids is None else frame.where(F.col(f"`{ID}`").isin(ids))
+    if name:
+        if set(frame.columns) - set(struct_of(registry, name).names) and registry.entity_class(name).strict:
+            raise SchemaError(f"{name} is strict")
+        require_none(lacking_required(changed, registry, name), "required attributes are absent")
     for a in (registry.attribute(x) for x in frame.columns):
-        if a.unique and a.index:
-            require_none(repeated(entities, a.name), f"{a.name} must be unique")
+        if a.name == ID or a.unique and a.index:
+            values = changed.select(F.col(f"`{a.name}`").alias("_value"))
+            near = entities if ids is None else entities.join(values, F.col(f"`{a.name}`") == F.col("_value"), "left_semi")
+            require_none(repeated(near, a.name), f"{a.name} must be unique")
         if a.type == "ref" and a.name != ID:
-            require_none(dangling(frame, a.name, entities), f"{a.name} names no entity")
+            require_none(dangling(changed, a.name, entities), f"{a.name} names no entity")
             if a.classes:
-                require_none(wrong_class(frame, a.name, entities, list(a.classes)), f"{a.name} names a wrong class")
+                require_none(wrong_class(changed, a.name, entities, list(a.classes)), f"{a.name} names a wrong class")

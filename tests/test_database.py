@@ -16,6 +16,7 @@ from lodestore.operators.select import Select
 from lodestore.plans.migrate import declared
 from lodestore.schema import COUNT, ID, Attribute, EntityClass, Registry, SchemaError
 from lodestore.sources import log
+from lodestore.sources.store import ConflictError
 from lodestore.streaming.tail import follow
 
 
@@ -233,3 +234,100 @@ def test_log(spark, tmp_path):
     for _ in range(2):
         follow(spark, path, lambda df, n: seen.extend(r["seq"] for r in df.collect()), str(tmp_path / "at"), once=True).awaitTermination()
     assert sorted(seen) == [1, 2, 3, 4, 5, 6]
+
+
+A, B, C = (f"0000000{k}-0000-0000-0000-000000000000" for k in (1, 2, 3))
+
+
+def test_one_id_one_entity(spark):
+    """Over all classes, and within one call."""
+    db = database(spark)
+    db.create("test/File", [{ID: A, "test/text": "x", "test/int": 1}])
+    with pytest.raises(mutate.ConstraintError):
+        db.create("test/Note", [{ID: A}])
+    with pytest.raises(mutate.ConstraintError):
+        db.create("test/File", [{ID: B}, {ID: B}])
+    with pytest.raises(mutate.ConstraintError):
+        db.merge("test/Note", [{ID: A, "core/ident": "n"}])
+    db.merge("test/File", [{ID: A, "test/int": 2, "test/list": [1]}, {ID: A, "test/text": None, "test/list": [2, 1]}])
+    assert db.entity(A) == {ID: A, "core/type": "test/File", "test/int": 2, "test/list": [1, 2]}
+    db.replace("test/Note", [{ID: A, "core/ident": "m"}, {ID: A, "core/ident": "n"}])
+    assert db.entity(A) == {ID: A, "core/type": "test/Note", "core/ident": "n"}
+    assert db.select(Select(count=True)).first()[0] == 1
+    with pytest.raises(mutate.ConstraintError):
+        db.transact([("create", "test/File", [{ID: B}]), ("create", "test/File", [{ID: B}])])
+    assert db.select(Select(count=True)).first()[0] == 1
+
+
+def test_attribute_without_frame(spark):
+    db = database(spark)
+    db.create("test/File", [{ID: A}])
+    assert db.select(Select(is_null(attr("test/of")), count=True)).first()[0] == 1
+    assert db.select(Select(eq(attr("core/title"), "x"), count=True)).first()[0] == 0
+    assert len(db.page(Select(), 0, 10)) == 1 and db.page(Select(), 1, 10) == []
+
+
+def test_entities_without_class(spark):
+    db = database(spark)
+    db.create(None, [{ID: A, "test/int": 3}, {ID: B, "test/text": "t", "core/ident": "plain"}])
+    db.create(None, [{ID: C, "test/list": [1]}])
+    assert db.entity("plain") == {ID: B, "test/text": "t", "core/ident": "plain"}
+    assert db.select(Select(gte(attr("test/int"), 3), count=True)).first()[0] == 1
+    db.merge(None, [{ID: A, "test/key": "k"}])
+    db.patch(A, {"test/int": mutate.put(4)})
+    with pytest.raises(mutate.ConstraintError):
+        db.create("test/File", [{"test/key": "k"}])
+    with pytest.raises(SchemaError):
+        db.create(None, [{"test/none": 1}])
+    assert db.entity(A) == {ID: A, "test/int": 4, "test/key": "k"}
+    db.delete(A)
+    assert db.select(Select(count=True)).first()[0] == 2
+
+
+def test_durable(spark, tmp_path):
+    path = str(tmp_path / "db")
+    db = Database.open(spark, path)
+    assert db.version == 0
+    first = database(spark)
+    db.transact([("migrate", "first", [("create_attribute", a) for a in first.registry.attributes.values() if a.name.startswith("test/") and a.name != "test/of"])])
+    db.migrate("second", [("create_class", EntityClass("test/File", {"test/text": False, "test/int": False, "test/list": True, "test/key": False}))])
+    db.create("test/File", [{ID: A, "test/int": 1}, {"test/text": "fresh"}])
+    db.patch(A, {"test/list": mutate.add(5), "test/text": mutate.put("p")}, {"test/int": 1})
+    db.update_where(gt(attr("test/int"), 0), {"test/int": 9})
+    db.create(None, [{ID: B, "test/text": "loose"}])
+    other = Database.open(spark, path)
+    assert other.entity(A) == db.entity(A) == {ID: A, "core/type": "test/File", "test/int": 9, "test/list": [5], "test/text": "p"}
+    assert other.migrations() == ("first", "second") and other.version == db.version == 6
+    with pytest.raises(SchemaError):
+        db.create("test/File", [{"test/int": "bad"}])
+    with pytest.raises(mutate.ConstraintError):
+        db.patch(A, {"test/int": mutate.put(0)}, {"test/int": 1})
+    assert Database.open(spark, path).version == 6  # nothing of a refused commit is left
+    with pytest.raises(NotFound):
+        Database.open(spark, path, 2).entity(A)
+    again = Database.rebuild(spark, path, str(tmp_path / "copy"))
+    rows = lambda d: sorted(map(str, map(sorted, (r.asDict().items() for r in d.select(Select()).collect()))))
+    assert {r["test/text"] for r in again.select(Select()).collect()} == {"p", "fresh", "loose"}
+    assert rows(again) == rows(db) == rows(Database.open(spark, str(tmp_path / "copy")))
+    assert [r["op"] for r in db.events().orderBy("version", "number").collect()] == ["migrate", "migrate", "create", "patch", "update_where", "create"]
+    other.delete(B)
+    with pytest.raises(ConflictError):
+        db.delete(B)
+
+
+def test_plans_stay_flat(spark, tmp_path):
+    db = Database.open(spark, str(tmp_path / "db"))
+    db.migrate("m", [("create_attribute", Attribute("test/int", "int"))])
+    sizes = []
+    for k in range(4):
+        db.merge(None, [{ID: A, "test/int": k}])
+        sizes.append(db.frame("")._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert len(set(sizes)) == 1 and db.entity(A)["test/int"] == 3
+
+
+def test_coerced_columns(spark):
+    frame = spark.createDataFrame([("true",), ("yes",), ("a/b",), (None,)], "v string")
+    got = frame.select(*(coerce_column(F.col("v"), k).alias(k) for k in ("bool", "ident", "bytes"))).collect()
+    assert [r["bool"] for r in got] == [True, None, None, None]
+    assert [r["ident"] for r in got] == [None, None, "a/b", None]
+    assert [r["bytes"] for r in got] == [b"true", b"yes", b"a/b", None]
