@@ -201,6 +201,11 @@ class Database:
             raise mutate.ConstraintError(f"entities exist: {sorted(homes)[:3]}")
         return frames | {name: mutate.create(self._wide(frames, name, delta), delta)}, ids
 
+    def _load(self, frames, name, what):
+        delta = store.read_frame(self.spark, what) if isinstance(what, str) else what
+        mutate.require_none(mutate.existing(delta, self._entities(frames)), "entities exist")
+        return frames | {name: mutate.create(self._wide(frames, name, delta), delta)}, None
+
     def _replace(self, frames, name, rows):
         delta, ids = self.rows(name, rows), [r[ID] for r in rows]
         for home in set(self._homes(frames, ids).values()) - {name}:
@@ -251,6 +256,10 @@ class Database:
     def create(self, name: str | None, rows: list[dict[str, Any]]) -> None:
         self.transact([("create", name, rows)])
 
+    def load(self, name: str, frame: DataFrame) -> None:
+        """Create the entities of a frame, of any size. In a folder the log names a copy."""
+        self.transact([("load", name, store.write_frame(frame, self.path)[0] if self.path else frame)])
+
     def replace(self, name: str | None, rows: list[dict[str, Any]]) -> None:
         self.transact([("replace", name, rows)])
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .database import Database
 from .functions.values import coerce_column, entity_id
 from .operators import mutate
 from .operators.expressions import attr, between, contains, eq, gt, gte, ident, if_, in_, inherits, is_class, is_not_null, is_null, list_of, lt, lte, neq, regex, starts_with
 from .operators.select import Select, by_id, entities, expand, run
 from .plans import migrate as plans
 from .schema import COUNT, ID, IDENT, TYPE, Attribute
-from .sources import log
-from .sources.tables import class_frame, registry_of
+from .sources import log, store
+from .sources.tables import MAPPING, actions_of, class_frame, registry_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,13 +146,17 @@ def _customers(df: DataFrame) -> DataFrame:
 _C = _id("customer", "c_custkey")
 
 
+LARGE = 450_000
+
+
 def _delta(spark, sf_dir) -> DataFrame:
-    """A change per customer with orders: the sum of prices as balance."""
+    """A change per customer with a large order: the largest price as balance."""
     orders = class_frame(spark, sf_dir, "orders").groupBy("`tpch/o_custkey_ref`").agg(F.max("`tpch/o_totalprice`").alias("tpch/c_acctbal"))
+    orders = orders.where(F.col("`tpch/c_acctbal`") > LARGE)
     return orders.withColumnRenamed("tpch/o_custkey_ref", ID).where(F.col(f"`{ID}`").isNotNull())
 
 
-_D = "(SELECT o_custkey AS k, max(o_totalprice) AS b FROM orders GROUP BY o_custkey)"
+_D = f"(SELECT o_custkey AS k, max(o_totalprice) AS b FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING max(o_totalprice) > {LARGE})"
 
 
 @register("mutate_merge", f"SELECT {_id('customer', 'coalesce(c_custkey, k)')} AS id, coalesce(b, c_acctbal) AS balance, c_mktsegment AS segment FROM customer FULL JOIN {_D} ON k = c_custkey")
@@ -199,6 +204,74 @@ def patch_lists(spark, sf_dir):
     return patched.select(F.col("`doc/vec_id`").alias("vec_id"), F.col("`doc/embedding`").alias("v"))
 
 
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`tpch/{c}`").alias(c) for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_tax")))
+
+
+_L = "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity"
+
+
+@register("update_lines", f"{_L}, CASE WHEN l_discount > 0.05 AND l_returnflag = 'R' THEN 0 ELSE l_tax END AS l_tax FROM lineitem")
+def update_lines(spark, sf_dir):
+    frames, registry = _frames(spark, sf_dir, "lineitem")
+    return _lines(mutate.update_where(frames["lineitem"], registry, gt(attr("tpch/l_discount"), 0.05) & eq(attr("tpch/l_returnflag"), "R"), {"tpch/l_tax": 0}))
+
+
+@register("delete_lines", f"{_L}, l_tax FROM lineitem WHERE NOT (l_quantity >= 30 AND l_linestatus = 'O')")
+def delete_lines(spark, sf_dir):
+    frames, registry = _frames(spark, sf_dir, "lineitem")
+    return _lines(mutate.delete_where(frames["lineitem"], registry, gte(attr("tpch/l_quantity"), 30) & eq(attr("tpch/l_linestatus"), "O")))
+
+
+@register("document_patterns", "SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '[0-9]{3}-[0-9]{4}') OR (contains(text, 'http') AND lang = 'en')")
+def document_patterns(spark, sf_dir):
+    frames, registry = _frames(spark, sf_dir, "documents")
+    text = attr("doc/text")
+    found = run(entities(frames), registry, Select(regex(text, "[0-9]{3}-[0-9]{4}") | (contains(text, "http") & eq(attr("doc/lang"), "en"))))
+    return found.select(F.col("`doc/doc_id`").alias("doc_id"), F.col("`doc/lang`").alias("lang"))
+
+
+@register("dangling_labels", f"SELECT {_id('labels', 'doc_id')} AS id FROM labels WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+def dangling_labels(spark, sf_dir):
+    """Labels whose document's number is no order's with lines."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(entity_id(F.lit("labels"), F.col("doc_id")).alias(ID), F.col("doc_id").cast("string").alias("x/ref"))
+    lines = class_frame(spark, sf_dir, "lineitem").select(F.col("`tpch/l_orderkey`").cast("string").alias(ID)).distinct()
+    return mutate.dangling(labels, "x/ref", lines).select(F.col(f"`{ID}`").alias("id"))
+
+
+def _loaded(spark, sf_dir, *names: str) -> tuple[str, Database]:
+    """A database in a new folder with some tables, targets of references first."""
+    frames, registry = _frames(spark, sf_dir, *names)
+    path = store.shared_dir(spark)
+    made = Database.open(spark, path)
+    made.migrate("tables", actions_of(registry))
+    for t in names:
+        made.load(MAPPING[t][0], frames[t])
+    return path, made
+
+
+@register("restore_then_select", f"""SELECT {_C} AS id, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS balance, c_mktsegment AS segment FROM customer
+    WHERE c_mktsegment <> 'BUILDING' AND CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END < 5000""")
+def restore_then_select(spark, sf_dir):
+    """Customers loaded into a database in a folder, changed in two commits, and selected
+    from the database as it is opened again."""
+    path, made = _loaded(spark, sf_dir, "region", "nation", "customer")
+    made.update_where(lt(_BALANCE, 0), {"tpch/c_acctbal": 0})
+    made.delete_where(eq(_SEGMENT, "BUILDING"))
+    return _customers(Database.open(spark, path).select(Select(lt(_BALANCE, 5000) & is_not_null(_BALANCE))))
+
+
+@register("rebuild_from_log", f"SELECT {_id('nation', 'n_nationkey')} AS id, CASE n_nationkey WHEN 7 THEN 'seven' WHEN 3 THEN NULL ELSE n_name END AS name, CASE WHEN n_nationkey = 3 THEN ['x'] END AS tags FROM nation WHERE n_nationkey <> 5")
+def rebuild_from_log(spark, sf_dir):
+    """Patches, a migration and a deletion, logged and built again from the log alone."""
+    key = lambda k: f"nation-{k}"
+    path, made = _loaded(spark, sf_dir, "region", "nation")
+    made.migrate("tags", [("create_attribute", Attribute("tpch/tags", "list<string>")), ("add_attribute", "tpch/Nation", "tpch/tags", False)])
+    made.transact([("patch", key(7), {"tpch/n_name": mutate.put("seven")}), ("patch", key(3), {"tpch/n_name": mutate.remove(), "tpch/tags": mutate.add("x")}), ("delete", key(5))])
+    again = Database.rebuild(spark, path).select(Select(is_class("tpch/Nation")))
+    return again.select(F.col(f"`{ID}`").alias("id"), F.col("`tpch/n_name`").alias("name"), F.col("`tpch/tags`").alias("tags"))
+
+
 @register("unique_violations", "SELECT p_name AS value, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
 def unique_violations(spark, sf_dir):
     return mutate.repeated(class_frame(spark, sf_dir, "part"), "tpch/p_name")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import tempfile
 import uuid
 from dataclasses import asdict
 from decimal import Decimal
@@ -33,6 +34,13 @@ class ConflictError(SchemaError):
     """Another writer has committed since this database was opened."""
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share: ``spark.checkpoint.dir``,
+    or a temporary one where that is unset (one machine)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestore-")
+    return f"{named.rstrip('/')}/lodestore-db-{uuid.uuid4().hex}"
+
+
 def encode(x: Any) -> Any:
     """A value of an event as JSON data; what JSON lacks is a map with one key."""
     match x:

@@ -17,6 +17,12 @@ MAPPING = {
     "supplier": ("tpch/Supplier", ("tpch/Party",), ("s_suppkey",), {"s_nationkey": "nation"}),
     "part": ("tpch/Part", (), ("p_partkey",), {}),
     "orders": ("tpch/Order", (), ("o_orderkey",), {"o_custkey": "customer"}),
+    "lineitem": ("tpch/LineItem", (), ("l_orderkey", "l_linenumber"), {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
+    "documents": ("doc/Document", (), ("doc_id",), {}),
+    "benchmark": ("doc/Item", (), ("item_id",), {}),
+    "pages": ("web/Page", (), ("page_id",), {}),
+    "labels": ("label/Label", (), ("doc_id",), {"doc_id": "documents"}),
+    "conversations": ("chat/Turn", (), ("conv_id", "turn"), {}),
     "events": ("web/Event", (), ("event_id",), {}),
     "embeddings": ("doc/Embedding", (), ("vec_id",), {}),
 }
@@ -55,3 +61,10 @@ def registry_of(frames: dict[str, DataFrame]) -> Registry:
             own[f.name] = False
         registry = registry.with_class(EntityClass(name, own | {IDENT: False}, parents))
     return registry
+
+
+def actions_of(registry: Registry) -> list[tuple]:
+    """The migration that brings in what a registry has beyond a new one."""
+    new = Registry()
+    attributes = [("create_attribute", a) for k, a in registry.attributes.items() if k not in new.attributes]
+    return [*attributes, *(("create_class", c) for c in registry.classes.values())]
