@@ -95,8 +95,8 @@ def coerce_column(value: Column, kind: str) -> Column:
     if kind == "float":
         return trimmed.try_cast("double")
     if kind == "datetime":
-        moment = F.when(trimmed.rlike(r"^\d+$"), F.timestamp_millis(trimmed.try_cast("bigint"))).otherwise(F.date_trunc("second", F.try_to_timestamp(trimmed)))
-        return moment.cast("timestamp_ntz")
+        written = F.date_trunc("second", F.try_to_timestamp(trimmed)).cast("timestamp_ntz")
+        return F.when(trimmed.rlike(r"^\d+$"), from_millis(trimmed.try_cast("bigint"))).otherwise(written)
     if kind == "url":
         return F.when(F.try_parse_url(trimmed, F.lit("PROTOCOL")).isNotNull(), trimmed)
     if kind == "ref":
@@ -108,6 +108,25 @@ def coerce_column(value: Column, kind: str) -> Column:
     return value.cast("binary") if kind == "bytes" else trimmed
 
 
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def from_millis(number: Column) -> Column:
+    """Milliseconds since 1970 as a moment (UTC), whatever the session's time zone."""
+    none = F.lit(0)
+    return F.expr(_EPOCH) + F.make_dt_interval(none, none, none, (number.cast("decimal(20,0)") / 1000).cast("decimal(18,6)"))
+
+
+def millis(moment: Column) -> Column:
+    """A moment (UTC) as whole milliseconds since 1970."""
+    return F.floor((moment - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)") * 1000).cast("bigint")
+
+
+def now() -> Column:
+    """The moment (UTC) at which the query began, in whole milliseconds."""
+    return from_millis(F.unix_millis(F.current_timestamp()))
+
+
 def entity_id(*keys: Column) -> Column:
     """A UUID-shaped id from keys (text or integer), the same on every engine."""
     digest = F.md5(F.concat_ws("|", *(k.cast("string") for k in keys)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,3 +93,21 @@ def as_maps(frame: DataFrame):
     """Rows as dicts without absent attributes, one partition at a time."""
     for row in frame.toLocalIterator():
         yield {k: v for k, v in row.asDict(recursive=True).items() if v is not None}
+
+
+@dataclass(frozen=True)
+class Item:
+    """An entity and those that it was expanded to, as maps without absent attributes."""
+
+    data: dict[str, Any]
+    joins: dict[str, dict[str, Any]] = field(default_factory=dict)
+
+    def flat(self) -> list[dict[str, Any]]:
+        return [self.data, *self.joins.values()]
+
+
+def items(frame: DataFrame, *joined: str):
+    """Rows as items; ``joined`` names the structs that ``expand`` added."""
+    for data in as_maps(frame):
+        joins = {n: {k: v for k, v in data.pop(n).items() if v is not None} for n in joined if n in data}
+        yield Item(data, joins)

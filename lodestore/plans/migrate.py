@@ -7,7 +7,7 @@ import inspect
 import types
 import uuid
 from dataclasses import dataclass, field, replace
-from typing import Any, get_args, get_origin
+from typing import Annotated, Any, get_args, get_origin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.values import coerce
 from ..operators.mutate import repeated, require_none
 from ..operators.select import entities
-from ..schema import Attribute, EntityClass, Registry, SchemaError
+from ..schema import BUILTIN, Attribute, EntityClass, Registry, SchemaError
 
 
 @dataclass
@@ -123,16 +123,21 @@ DECLARED = {bool: "bool", int: "int", float: "float", str: "string", bytes: "byt
 def declared(cls: type, namespace: str) -> list[tuple]:
     """The actions that bring in the class that a dataclass declares: own fields are
     attributes, ``X | None`` is optional, ``list[X]`` a list, and base dataclasses are
-    parents, which must be declared before."""
+    parents, which must be declared before. ``Annotated[X, {"unique": True}]`` gives more of
+    an attribute's fields, ``name`` included."""
     actions, own = [], {}
     for name, hint in inspect.get_annotations(cls, eval_str=True).items():
+        hint, *extra = get_args(hint) if get_origin(hint) is Annotated else (hint,)
         parts = get_args(hint) if isinstance(hint, types.UnionType) else (hint,)
         given = [p for p in parts if p is not types.NoneType]
         many = get_origin(given[0]) is list
         inner = get_args(given[0])[0] if many else given[0]
         if len(given) != 1 or inner not in DECLARED:
             raise SchemaError(f"{hint!r} of {name!r} can't be an attribute's type")
-        a = Attribute(f"{namespace}/{name}", f"list<{DECLARED[inner]}>" if many else DECLARED[inner])
+        stated = {"name": f"{namespace}/{name}", "type": f"list<{DECLARED[inner]}>" if many else DECLARED[inner]}
+        for fields in extra:
+            stated |= fields
+        a = Attribute(**stated)
         actions.append(("upsert_attribute", a))
         own[a.name] = len(given) == len(parts)
     parents = tuple(f"{namespace}/{b.__name__}" for b in cls.__bases__ if hasattr(b, "__dataclass_fields__"))
@@ -146,3 +151,27 @@ def migrate(state: State, name: str, actions: list[tuple]) -> State:
     for action, *args in actions:
         state = ACTIONS[action](state, *args)
     return replace(state, applied=(*state.applied, name))
+
+
+def unify(migrations: list[tuple[str, list[tuple]]], name: str) -> tuple[str, list[tuple]]:
+    """One migration that creates what a list of (name, actions) leaves of attributes and
+    classes. Values aren't touched: it is for a database without entities. A class that
+    an attribute of its own refers to is created without it and gets it later."""
+    state = State()
+    for each, actions in migrations:
+        state = migrate(state, each, actions)
+    attributes = [a for a in state.registry.attributes.values() if a not in BUILTIN]
+    classes, known, out = list(state.registry.classes.values()), {a.name for a in BUILTIN}, []
+    while attributes or classes:
+        if ready := [a for a in attributes if set(a.classes) <= known]:
+            attributes = [a for a in attributes if a not in ready]
+            out += [("create_attribute", a) for a in ready]
+        elif ready := [c for c in classes if {*c.extends, *c.attributes} <= known]:
+            classes = [c for c in classes if c not in ready]
+            out += [("upsert_class" if ("create_class", c.name) in {(x, y.name) for x, y in out} else "create_class", c) for c in ready]
+        elif ready := [c for c in classes if set(c.extends) <= known and c.name not in known]:
+            if needed := [k for k, required in ready[0].attributes.items() if required and k not in known]:
+                raise SchemaError(f"{', '.join(needed)} of {ready[0].name} refer back to it and are required")
+            out.append(("create_class", replace(ready[0], attributes={k: v for k, v in ready[0].attributes.items() if k in known})))
+        known |= {x.name for _, x in out}
+    return name, out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .database import Database
-from .functions.values import coerce_column, entity_id
+from .functions.values import coerce_column, entity_id, from_millis, millis
 from .operators import mutate
 from .operators.expressions import attr, between, contains, eq, gt, gte, ident, if_, in_, inherits, is_class, is_not_null, is_null, list_of, lt, lte, neq, regex, starts_with
 from .operators.select import Select, by_id, entities, expand, run
@@ -133,6 +133,15 @@ def list_member(spark, sf_dir):
     return found.select(F.col("`doc/vec_id`").alias("vec_id"), F.col("`doc/label`").cast("int").alias("label"))
 
 
+@register("list_words", "SELECT doc_id FROM documents WHERE list_has_any(string_split(text, ' '), ['The', 'by']) AND NOT list_contains(string_split(text, ' '), 'from')")
+def list_words(spark, sf_dir):
+    """Documents whose list of words has one of two, but not a third."""
+    frames, registry = _frames(spark, sf_dir, "documents")
+    frames["documents"] = frames["documents"].withColumn("doc/words", F.split("`doc/text`", " "))
+    found = run(entities(frames), registry.with_attribute(Attribute("doc/words", "list<string>")), Select(contains(attr("doc/words"), ["The", "by"]) & ~in_("from", attr("doc/words"))))
+    return found.select(F.col("`doc/doc_id`").alias("doc_id"))
+
+
 @register("expand_reference", f"SELECT {_id('customer', 'c_custkey')} AS id, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def expand_reference(spark, sf_dir):
     frames, _ = _frames(spark, sf_dir, "customer", "nation")
@@ -290,6 +299,16 @@ def wrong_class_references(spark, sf_dir):
     return mutate.wrong_class(frames["customer"], "tpch/c_nationkey_ref", entities(frames), ["tpch/Region"]).select(F.col(f"`{ID}`").alias("id"))
 
 
+@register("wrong_class_mixed", f"SELECT {_C} AS id FROM customer JOIN region ON c_nationkey = r_regionkey WHERE c_acctbal < 0")
+def wrong_class_mixed(spark, sf_dir):
+    """Customers that refer to a region in place of a nation, as those in debt do here."""
+    frames, _ = _frames(spark, sf_dir, "region", "nation")
+    rows, key = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_nationkey")
+    target = F.when(F.col("c_acctbal") < 0, entity_id(F.lit("region"), key)).otherwise(entity_id(F.lit("nation"), key))
+    customers = rows.select(entity_id(F.lit("customer"), F.col("c_custkey")).alias(ID), target.alias("x/ref"))
+    return mutate.wrong_class(customers, "x/ref", entities(frames), ["tpch/Nation"]).select(F.col(f"`{ID}`").alias("id"))
+
+
 def _state(spark, sf_dir, *tables) -> plans.State:
     frames, registry = _frames(spark, sf_dir, *tables)
     return plans.State(registry, {t: f for t, f in frames.items()})
@@ -347,6 +366,35 @@ def coerce_integers(spark, sf_dir):
     return orders.select("o_orderkey", coerce_column(F.regexp_extract("o_orderpriority", "^[0-9]", 0), "int").alias("level"), coerce_column(F.col("o_orderpriority"), "int").alias("whole"))
 
 
+@register("coerce_mixed", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS whole, CASE WHEN o_orderstatus = 'F' THEN o_orderkey::DOUBLE END AS real, CASE WHEN o_orderstatus = 'P' THEN o_custkey % 2 = 0 END AS flag FROM orders""")
+def coerce_mixed(spark, sf_dir):
+    """One text column of integers, truth values and other words, as three kinds."""
+    status, text = F.col("o_orderstatus"), F.col("mixed")
+    mixed = F.when(status == "F", F.col("o_orderkey").cast("string")).when(status == "P", (F.col("o_custkey") % 2 == 0).cast("string")).otherwise(F.col("o_orderpriority"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("mixed", mixed)
+    return orders.select("o_orderkey", coerce_column(text, "int").alias("whole"), coerce_column(text, "float").alias("real"), coerce_column(text, "bool").alias("flag"))
+
+
+@register("moments", "SELECT event_id, epoch_us(ts) // 1000 AS at FROM events")
+def moments(spark, sf_dir):
+    """Events' times as milliseconds, by way of the moments that these stand for."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", millis(from_millis(millis(F.col("ts").cast("timestamp_ntz")))).alias("at"))
+
+
+@register("unified_migration", f"SELECT {_id('nation', 'n_nationkey')} AS id, n_name AS name, NULL::BIGINT AS grade FROM nation")
+def unified_migration(spark, sf_dir):
+    """Nations loaded into a database whose schema is one migration made of three."""
+    frames, registry = _frames(spark, sf_dir, "region", "nation")
+    grade, spare = Attribute("tpch/grade", "int"), Attribute("tpch/spare", "string")
+    first, second, third = ("tables", actions_of(registry)), ("grade", [("create_attribute", grade), ("create_attribute", spare), ("add_attribute", "tpch/Nation", "tpch/grade", False)]), ("spare", [("delete_attribute", "tpch/spare")])
+    made = Database(spark)
+    made.migrate(*plans.unify([first, second, third], "all"))
+    for t in frames:
+        made.load(MAPPING[t][0], frames[t])
+    return made.select(Select(is_class("tpch/Nation"))).select(F.col(f"`{ID}`").alias("id"), F.col("`tpch/n_name`").alias("name"), F.col("`tpch/grade`").alias("grade"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The richest customers and suppliers: class, range and order over the sparse union."""
     frames, registry = _frames(spark, sf_dir, "customer", "supplier")

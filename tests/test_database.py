@@ -4,16 +4,17 @@ import datetime
 import itertools
 import uuid
 from dataclasses import dataclass
+from typing import Annotated
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestore.database import Database, NotFound
-from lodestore.functions.values import coerce, coerce_column, natural_key
+from lodestore.functions.values import coerce, coerce_column, from_millis, millis, natural_key, now
 from lodestore.operators import mutate
 from lodestore.operators.expressions import Lowering, attr, between, contains, eq, gt, gte, ident, if_, in_, is_null, list_of, literal, lt, lte, neq, regex, starts_with
-from lodestore.operators.select import Select
-from lodestore.plans.migrate import declared
+from lodestore.operators.select import Select, expand, items
+from lodestore.plans.migrate import declared, unify
 from lodestore.schema import COUNT, ID, Attribute, EntityClass, Registry, SchemaError
 from lodestore.sources import log
 from lodestore.sources.store import ConflictError
@@ -181,6 +182,50 @@ def test_declared_classes(spark):
         declared(Odd, "kit")
 
 
+@dataclass
+class Marked:
+    code: Annotated[str, {"unique": True, "title": "Code"}]
+    note: Annotated[str | None, {"name": "kit/remark"}]
+
+
+def test_declared_attributes():
+    (_, code), (_, note), (_, marked) = declared(Marked, "kit")
+    assert code == Attribute("kit/code", "string", unique=True, title="Code") and note == Attribute("kit/remark", "string")
+    assert marked.attributes == {"kit/code": True, "kit/remark": False}
+
+
+def test_unified_migrations(spark):
+    first = [("create_attribute", Attribute("t/a", "int")), ("create_attribute", Attribute("t/b", "string")), ("create_class", EntityClass("t/Base", {"t/a": False})), ("create_class", EntityClass("t/More", {"t/b": True}, ("t/Base",)))]
+    second = [("create_attribute", Attribute("t/of", "ref", classes=("t/More",))), ("add_attribute", "t/More", "t/of", False), ("create_index", "t/b", True), ("change_type", "t/a", Attribute("t/a", "list<int>"))]
+    third = [("create_attribute", Attribute("t/c", "int")), ("create_class", EntityClass("t/Gone", {"t/c": False})), ("delete_class", "t/Gone"), ("delete_attribute", "t/c")]
+    steps, whole = Database(spark), Database(spark)
+    for name, actions in zip("xyz", (first, second, third), strict=True):
+        steps.migrate(name, actions)
+    whole.migrate(*unify(list(zip("xyz", (first, second, third), strict=True)), "all"))
+    assert whole.registry.attributes == steps.registry.attributes and whole.registry.classes == steps.registry.classes
+    assert whole.migrations() == ("all",)
+    with pytest.raises(SchemaError):
+        unify([("x", first), ("x", second)], "all")
+    assert unify([], "none") == ("none", [])
+
+
+def test_moments(spark):
+    numbers = [0, 1, 1_700_000_000_123, 2**41, None, -5]
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        rows = spark.createDataFrame([(n,) for n in numbers], "n long").select(from_millis(F.col("n")).alias("m"), millis(from_millis(F.col("n"))).alias("n"), (millis(now()) > 1_700_000_000_000).alias("late")).collect()
+        assert [r["n"] for r in rows] == numbers and all(r["late"] for r in rows)
+        assert rows[2]["m"] == datetime.datetime(2023, 11, 14, 22, 13, 20, 123000)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_items(spark):
+    left = spark.createDataFrame([("1", "9"), ("2", None)], f"`{ID}` string, `t/of` string")
+    right = spark.createDataFrame([("9", None, 4)], f"`{ID}` string, `t/x` string, `t/y` long")
+    one, two = sorted(items(expand(left, right, "t/of", "of"), "of"), key=lambda i: i.data[ID])
+    assert one.flat() == [{ID: "1", "t/of": "9"}, {ID: "9", "t/y": 4}] and two.flat() == [{ID: "2"}]
+
+
 def test_natural_order(spark):
     names = ["a10", "a9", "a010b", "a10a", "b", "", "a", "9", "10", "a" + "9" * 50, "a1" + "0" * 50]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "s string").orderBy(natural_key(F.col("s"))).collect()]
