@@ -21,7 +21,7 @@ from re import _parser as sre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower
+from .common import ALNUM_WORD, ANY_CASE_WORD, ascii_lower
 
 # Phrases of the data contract.
 PHRASES = {
@@ -212,17 +212,20 @@ def gates(table: list[dict]) -> list[str]:
     return out
 
 
-#: A run of blanks; a line break with comment marks that begin the next line.
-_SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-_BREAKS = r"\n\r\x0B\f\x{85}\x{2028}\x{2029}"
-_LINE_BREAK = rf"[{_SPACES}&&[^{_BREAKS}]]*+[{_BREAKS}](?:[{_SPACES}/*#;%>|!\"<-]*+(?:(?:dnl|rem)[ \t]++)?+)"
-_BLANKS = rf"[{_SPACES}&&[^{_BREAKS}]]++"
+#: Blanks and line breaks beyond ASCII count as " " and "\n".
+_WIDE_BLANKS = "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u202f\u205f\u3000\ufeff"
+_WIDE_BREAKS = "\x85\u2028\u2029"
+#: A line break with the blanks before it and the comment marks that begin the next line;
+#: a run of blanks that isn't one " " already.
+_LINE_BREAK = r"[ \t]*+[\n\r\x0B\f](?:[ \t\n\r\x0B\f/*#;%>|!\"<-]*+(?:(?:dnl|rem)[ \t]++)?+)"
+_BLANKS = r"[ \t](?:[ \t]++|(?<=\t))"
 
 
 def _tidy(low: Column) -> Column:
     """``low`` with one blank for a run of blanks, and one line break for a run that has
     any, with the comment marks behind it."""
-    return F.regexp_replace(F.regexp_replace(low, _LINE_BREAK, "\n"), _BLANKS, " ")
+    plain = F.translate(low, _WIDE_BLANKS + _WIDE_BREAKS, " " * len(_WIDE_BLANKS) + "\n" * len(_WIDE_BREAKS))
+    return F.regexp_replace(F.regexp_replace(plain, _LINE_BREAK, "\n"), _BLANKS, " ")
 
 
 DETECTIONS = "array<struct<priority:int,label:string,confidence:double,start:int,size:int>>"
@@ -294,15 +297,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     There is no shuffle and no Python: all is one projection over the scan.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # Upper-case letters are words too here, so the count needs no lower-casing.
-    both = ALNUM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     listed = rules()
     schema = "array<struct<priority:int,label:string,pattern:string,confidence:double,need:array<array<string>>>>"
     table = F.from_json(F.lit(json.dumps(listed)), schema)
     words = F.from_json(F.lit(json.dumps(sorted({w for r in listed for s in r["need"] for w in s}))), "array<string>")
     lower = F.lower(text)
     phrased = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(lower, F.lit(w)) for w in p)) for p in PHRASES.values()))
-    gated = docs.select("doc_id", F.regexp_count(text, F.lit(both)).cast("long").alias("n_words"), text.alias("text"), _gated(text, lower, listed).alias("gated"), phrased.alias("phrased"))
+    gated = docs.select("doc_id", F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), text.alias("text"), _gated(text, lower, listed).alias("gated"), phrased.alias("phrased"))
     lowered = gated.select("doc_id", "n_words", "gated", "phrased", F.when(F.col("gated") | F.col("phrased"), ascii_lower(F.col("text"))).alias("low"))
     split = lowered.select("doc_id", "n_words", F.when(F.col("phrased"), F.regexp_extract_all("low", F.lit(ALNUM_WORD), 0)).alias("words"), F.when(F.col("gated"), _tidy(F.col("low"))).alias("tidy"))
     # The words are found once per text, and bound to a name for all rules.
