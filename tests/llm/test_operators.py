@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 import corpus_pipeline
-from lodestore.llm import chat, decontaminate, licenses, lm, media, packing, quality, setsketch, textscan, toxicity, warc
+from lodestore.llm import chat, common, decontaminate, licenses, lm, media, packing, quality, setsketch, textscan, toxicity, warc
 from lodestore.llm.components import connected_components
 from lodestore.llm.oracles import ORACLES
 from lodestore.llm.queries import QUERIES
@@ -421,3 +422,15 @@ def test_other_operators_on_no_rows(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (setsketch.NearDuplicates(none).classes(), lm.score_documents(none), decontaminate.summary(none, bench), packing.pack_documents(none), licenses.scan_licenses(none)):
         assert out.count() == 0
+
+
+def test_no_shuffle_files_pile_up(spark):
+    """What written tables and components shuffled on their way is gone when they are there."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there = lambda: {x for x in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, mode = there(), spark.conf.get(common._FILE_CLEANUP)
+    common.materialise(connected_components(spark.createDataFrame([(1, 2), (3, 2), (5, 4)], "a long, b long")), "components")
+    until = time.time() + 20
+    while (left := there() - before) and time.time() < until:  # files are deleted in the background
+        time.sleep(0.2)
+    assert not left and spark.conf.get(common._FILE_CLEANUP) == mode
